@@ -1,7 +1,8 @@
 """Exact self-join of texts by the Jaccard similarity of their word shingles, by vertical partitioning.
 
 The global order of all shingles is cut into fragments. The first cut, `region` of the order, is dealt by fragments to tasks that
-count in how many different texts each shingle occurs. A text of n shingles has at most floor(n / 5) that a partner at 0.8 lacks, so a text
+count in how many texts each shingle occurs (copies in one chunk count once). A text of n shingles has at most floor(n / 5)
+that a partner at 0.8 lacks, so a text
 whose region holds more unshared shingles than that has no partner; for the others the rarest shared shingles of the region
 (the prefix under the order "region by frequency, then the rest") link all possible partners. Texts that such shingles connect
 form candidate groups; inside a group, blocks of texts meet pairwise, and each meeting counts partial overlaps fragment by
@@ -107,12 +108,13 @@ def _members(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk", "texts", "ids", "known", "keys", "sizes", "digests").mapInArrow(work, "chunk long, at int, id long, key long, n long, node long")
 
 
-def _kept(row: dict) -> list[tuple[int, int, np.ndarray]]:
-    """(place, size, region's shingles) of a chunk's first copies."""
+def _regions(row: dict) -> list[tuple[int, int, np.ndarray]]:
+    """(node, size, region's shingles) of a chunk's texts that have any, each set once."""
     counts, sizes = np.frombuffer(row["counts"], np.int32), np.frombuffer(row["sizes"], np.int64)
-    values = np.frombuffer(row["shingles"], np.uint64)
+    values, nodes = np.frombuffer(row["shingles"], np.uint64), np.frombuffer(row["digests"], np.int64)[::2]
     ends = np.cumsum(counts)
-    return [(k, int(sizes[k]), values[ends[k] - counts[k] : ends[k]]) for k in sorted(row["first"])]
+    first = {int(nodes[k]): k for k in reversed(range(len(sizes))) if sizes[k]}
+    return [(node, int(sizes[k]), values[ends[k] - counts[k] : ends[k]]) for node, k in sorted(first.items())]
 
 
 def _requests(chunks: DataFrame, fragments: int, cut: int) -> DataFrame:
@@ -122,7 +124,7 @@ def _requests(chunks: DataFrame, fragments: int, cut: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                held = _kept(row)
+                held = _regions(row)
                 if not held:
                     continue
                 values, counts = np.unique(np.concatenate([s for _, _, s in held]), return_counts=True)
@@ -153,7 +155,7 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _prefixes(chunks: DataFrame, rules: JoinRules, cut: int) -> DataFrame:
-    """(node, shingle) for the shared shingles in each first copy's prefix."""
+    """(node, shingle) for the shared shingles in each set's prefix."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,11 +165,8 @@ def _prefixes(chunks: DataFrame, rules: JoinRules, cut: int) -> DataFrame:
                 texts = np.concatenate([np.frombuffer(a["texts"], np.int64) for a in answers] or [np.empty(0, np.int64)])
                 order = np.argsort(values)
                 values, texts = values[order], texts[order]
-                nodes = np.frombuffer(row["digests"], np.int64)[::2]
                 keys, out = [], []
-                for k, n, s in _kept(row):
-                    if not n:
-                        continue
+                for node, n, s in _regions(row):
                     prefix = spare(n, rules.percent) + 1
                     inside = s[s < np.uint64(cut)]
                     at = np.minimum(np.searchsorted(values, inside), max(0, len(values) - 1))
@@ -179,7 +178,7 @@ def _prefixes(chunks: DataFrame, rules: JoinRules, cut: int) -> DataFrame:
                     beyond = s[len(inside) :][: max(0, room - len(mine))]
                     for part in (mine, beyond):
                         keys.append(part)
-                        out.append(np.full(len(part), nodes[k]))
+                        out.append(np.full(len(part), node))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int64()), pa.array(np.concatenate(keys).view(np.int64), pa.int64())], names=["node", "shingle"])
 
@@ -293,17 +292,15 @@ def join(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_id"
     cut = int(rules.region * 2.0**64)
     chunks = stored(_chunks(docs, rules, id_col, text_col), "shingles")
     members = stored(_members(chunks), "members")
-    first = F.min(F.struct("chunk", "at", "id", "key")).alias("f")
+    first = F.min(F.struct("id", "key")).alias("f")
     classes = members.where("node IS NOT NULL").groupBy("node").agg(first, F.max("n").alias("n"), F.min("id").alias("least"))
-    classes = stored(classes.select("node", "f.chunk", "f.at", F.col("f.id").alias("id"), F.col("f.key").alias("key"), "n", "least"), "classes")
-    firsts = classes.groupBy("chunk").agg(F.collect_list("at").alias("first"))  # bounded by a chunk's texts
-    held = stored(chunks.join(firsts, "chunk"), "held")
+    classes = stored(classes.select("node", F.col("f.id").alias("id"), F.col("f.key").alias("key"), "n", "least"), "classes")
     total = members.agg(F.sum("n")).first()[0] or 0
     fragments = max(parallelism(spark), int(total * rules.region) // 1_000_000)
-    answers = _requests(held, fragments, cut).groupBy("fragment").applyInPandas(_shared, "chunk long, shingles binary, texts binary")
-    answered = held.join(answers.groupBy("chunk").agg(F.collect_list(F.struct("shingles", "texts")).alias("answers")), "chunk", "left")
+    answers = _requests(chunks, fragments, cut).groupBy("fragment").applyInPandas(_shared, "chunk long, shingles binary, texts binary")
+    answered = chunks.join(answers.groupBy("chunk").agg(F.collect_list(F.struct("shingles", "texts")).alias("answers")), "chunk", "left")
     prefixes = stored(_prefixes(answered, rules, cut), "prefixes")
-    hubs = prefixes.groupBy("shingle").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    hubs = prefixes.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
     groups = components(prefixes.join(hubs, "shingle").select(F.col("hub").alias("a"), F.col("node").alias("b")))
     groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
     sized = stored(classes.join(groups, "node").select("node", "id", "key", "n", F.col("component").alias("grp")), "groups")
