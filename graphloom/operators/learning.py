@@ -48,7 +48,7 @@ def _prox(problem: Problem, x: Column) -> Column:
     return F.when(F.col("is_labeled"), pulled).otherwise(x / (1.0 + problem.shrink * gamma))
 
 
-def loop(nodes: DataFrame, edges: DataFrame, problem: Problem, rounds: int, settle_every: int = 5) -> tuple[DataFrame, DataFrame]:
+def loop(nodes: DataFrame, edges: DataFrame, problem: Problem, rounds: int, settle_every: int = 2) -> tuple[DataFrame, DataFrame]:
     """nodes (nid, label, is_labeled), edges (src, dst, w and y to start from, else 0) after so many rounds: nodes with x and
     average, edges with y. Every round is two equi-joins on node ids and one grouped sum."""
     state = settled(degrees(nodes.select("nid", "label", "is_labeled"), edges).select("nid", "label", "is_labeled", "gamma", F.lit(0.0).alias("x"), F.lit(0.0).alias("prev"), F.lit(0.0).alias("average")))
@@ -66,7 +66,7 @@ def loop(nodes: DataFrame, edges: DataFrame, problem: Problem, rounds: int, sett
     return state, flows
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int, settle_every: int = 5) -> DataFrame:
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int, settle_every: int = 2) -> DataFrame:
     """Neighbour averages, labelled nodes clamped before the first and after every round; isolated nodes keep their value. From 0."""
     both = settled(ends(edges).select("nid", "other"))
     state = nodes.select("nid", "label", "is_labeled", F.when(F.col("is_labeled"), F.col("label")).otherwise(0.0).alias("x"))
