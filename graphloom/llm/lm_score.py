@@ -8,7 +8,8 @@ score = mean over tokens of (target loss - background loss), in nats; lower is c
 The vocabulary holds every word that occurs at least as often as the least count with which it has at most `vocabulary` words;
 the others are one unknown word, so ids fit 16 bits and what is broadcast is bounded. Documents are encoded once, in batches. Each
 batch sends its distinct bigrams with their counts to the fragments of the bigram space, where both models' counts meet, and
-gets back the two losses of each: hot bigrams travel once per batch.
+gets back the two counts of each: hot bigrams travel once per batch. The ids of target documents are broadcast up to a checked
+number; beyond it they are joined.
 
 Defined results: null and empty texts have no tokens and null losses; repeated rows count and score each; a null id stays null; null
 labels and labels without document don't train; without a labelled document the target model is the smoothing alone.
@@ -36,7 +37,8 @@ UNKNOWN, BEGIN = 0, 1
 class LmRules:
     vocabulary: int = 60_000  #: most words; below 65,534
     share: float = 0.7  #: of the bigram in the interpolation
-    batch_tokens: int = 400_000
+    batch_tokens: int = 1_000_000
+    broadcast_ids: int = 2_000_000  #: most target ids (16 MB) that are broadcast
 
 
 def words_of(text: str) -> list[bytes]:
@@ -74,9 +76,11 @@ def vocabulary(docs: DataFrame, most: int, text_col: str = "text") -> list[bytes
     return [r["word"] for r in sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))]
 
 
-def _encoded(docs: DataFrame, words: list[bytes], rules: LmRules, id_col: str, text_col: str) -> DataFrame:
-    """Batches of documents: ids, lengths and 16-bit tokens, packed, and which of them are targets."""
+def _encoded(docs: DataFrame, words: list[bytes], targets: np.ndarray | None, rules: LmRules, id_col: str, text_col: str) -> DataFrame:
+    """Batches of documents: ids, lengths and 16-bit tokens, packed, and which of them are targets: the sorted ids in `targets`, or
+    those with _target."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
+    chosen = docs.sparkSession.sparkContext.broadcast(targets)
     schema = "batch long, ids binary, known binary, target binary, lengths binary, tokens binary"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +91,14 @@ def _encoded(docs: DataFrame, words: list[bytes], rules: LmRules, id_col: str, t
             blobs = (np.array([r[0] or 0 for r in rows], np.int64), np.array([r[0] is not None for r in rows], np.uint8), np.array([r[1] for r in rows], np.uint8), np.array([len(r[2]) for r in rows], np.int64), np.concatenate([r[2] for r in rows]))
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["batch", "ids", "known", "target", "lengths", "tokens"])
 
-        get = ids.get
+        get, wanted = ids.get, chosen.value
         for batch in batches:
-            for doc, text, target in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            docs_ = batch.column(0).to_pylist()
+            if wanted is None:
+                marks = batch.column(2).to_pylist()
+            else:
+                marks = np.isin(np.array([-1 if d is None else d for d in docs_], np.int64), wanted) & np.array([d is not None for d in docs_], bool)
+            for doc, text, target in zip(docs_, texts_of(batch.column(1)), marks, strict=True):
                 tokens = np.array([get(w, UNKNOWN) for w in words_of(text)], np.uint16)
                 rows.append((doc, bool(target), tokens))
                 size += len(tokens)
@@ -99,7 +108,7 @@ def _encoded(docs: DataFrame, words: list[bytes], rules: LmRules, id_col: str, t
         if rows:
             yield packed()
 
-    return docs.select(id_col, text_col, "_target").mapInArrow(work, schema)
+    return docs.select(id_col, text_col, *(["_target"] if targets is None else [])).mapInArrow(work, schema)
 
 
 def bigrams(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -157,7 +166,10 @@ def score(docs: DataFrame, labels: DataFrame, rules: LmRules = LmRules(), id_col
     good = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max("quality") > 0).alias("_target")).where("_target")
     words = vocabulary(docs, rules.vocabulary, text_col)
     size = len(words) + 2
-    encoded = stored(_encoded(docs.select(id_col, text_col).join(good, id_col, "left"), words, rules, id_col, text_col), "encoded")
+    few = good.count() <= rules.broadcast_ids
+    targets = np.sort(good.select(id_col).toPandas()[id_col].to_numpy(np.int64)) if few else None
+    read = docs.select(id_col, text_col)
+    encoded = stored(_encoded(read if few else read.join(good, id_col, "left"), words, targets, rules, id_col, text_col), "encoded")
     unigrams = spark.sparkContext.broadcast(_unigrams(encoded))
     tokens = int(unigrams.value[1].sum())
     fragments = max(parallelism(spark), tokens // 2_000_000)
@@ -180,35 +192,34 @@ def score(docs: DataFrame, labels: DataFrame, rules: LmRules = LmRules(), id_col
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(x, np.uint32) for x in pdf["bigrams"]]
         unique, where = np.unique(np.concatenate(parts), return_inverse=True)
-        counts = unigrams.value
         both = []
-        for k, column in enumerate(("target", "counts")):
+        for column in ("target", "counts"):
             joint = np.bincount(where, np.concatenate([np.frombuffer(x, np.int32) for x in pdf[column]]), len(unique))
-            both.append(losses(unique, joint, counts[k], counts[2 + k], size, rules.share).astype(np.float32)[where])
+            both.append(joint.astype(np.int64)[where])
         edges = np.cumsum([len(p) for p in parts])[:-1]
         split = [np.split(b, edges) for b in both]
-        return pd.DataFrame({"batch": pdf["batch"], "bigrams": pdf["bigrams"], "target": [x.tobytes() for x in split[0]], "background": [x.tobytes() for x in split[1]]})
+        return pd.DataFrame({"batch": pdf["batch"], "fragment": pdf["fragment"], "target": [x.tobytes() for x in split[0]], "background": [x.tobytes() for x in split[1]]})
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = unigrams.value
         for batch in batches:
             for row in batch.to_pylist():
                 lengths = np.frombuffer(row["lengths"], np.int64)
-                keys = bigrams(np.frombuffer(row["tokens"], np.uint16), lengths)
-                got = row["answers"] or []
-                known = np.concatenate([np.frombuffer(a["bigrams"], np.uint32) for a in got] or [np.empty(0, np.uint32)])
-                order = np.argsort(known)
-                at = order[np.searchsorted(known[order], keys)] if len(known) else np.empty(0, np.int64)
+                unique, where = np.unique(bigrams(np.frombuffer(row["tokens"], np.uint16), lengths), return_inverse=True)
+                order = np.argsort(spread(unique) % np.uint32(fragments), kind="stable")  # the order in which they were asked for
+                answers = sorted(row["answers"] or [], key=lambda a: a["fragment"])
                 owner = np.repeat(np.arange(len(lengths)), lengths)
-                empty = lengths == 0
-                mean = []
-                for k in ("target", "background"):
-                    values = np.concatenate([np.frombuffer(a[k], np.float32) for a in got] or [np.empty(0, np.float32)]).astype(np.float64)
-                    mean.append(np.bincount(owner, values[at], len(lengths)) / np.maximum(lengths, 1))
+                empty, mean = lengths == 0, []
+                for k, name in enumerate(("target", "background")):
+                    joint = np.empty(len(unique))
+                    joint[order] = np.concatenate([np.frombuffer(a[name], np.int64) for a in answers] or [np.empty(0, np.int64)])
+                    loss = losses(unique, joint, counts[k], counts[2 + k], size, rules.share)
+                    mean.append(np.bincount(owner, loss[where], len(lengths)) / np.maximum(lengths, 1))
                 ids = pa.array(np.frombuffer(row["ids"], np.int64), pa.int64(), mask=np.frombuffer(row["known"], np.uint8) == 0)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(lengths), *(pa.array(x, pa.float64(), mask=empty) for x in (mean[0], mean[1], mean[0] - mean[1]))], names=[id_col, "n_tokens", "target_loss", "background_loss", "score"])
 
     asked = encoded.select("batch", "target", "lengths", "tokens").mapInArrow(ask, "fragment long, batch long, bigrams binary, target binary, counts binary")
-    answers = asked.groupBy("fragment").applyInPandas(answer, "batch long, bigrams binary, target binary, background binary")
-    gathered = answers.groupBy("batch").agg(F.collect_list(F.struct("bigrams", "target", "background")).alias("answers"))  # bounded by a batch's tokens
+    answers = asked.groupBy("fragment").applyInPandas(answer, "batch long, fragment long, target binary, background binary")
+    gathered = answers.groupBy("batch").agg(F.collect_list(F.struct("fragment", "target", "background")).alias("answers"))  # bounded by a batch's tokens
     rated = encoded.select("batch", "ids", "known", "lengths", "tokens").join(gathered, "batch", "left")
     return rated.mapInArrow(rate, f"`{id_col}` long, n_tokens long, target_loss double, background_loss double, score double")
