@@ -22,20 +22,20 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Short forms of notices by which licences are declared, under their SPDX names.
+#: Notices by which licences are declared, under their SPDX names.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.",
-    "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3. This program is free software.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2. This program is free software.",
-    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3. This library is free software.",
-    "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License.",
-    "MPL-2.0": "This source code form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0, the Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0, the Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0, the Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "Proprietary": "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited.",
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License."),
+    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
+    "BSD-3-Clause": ("Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    "MPL-2.0": ("This source code form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Licensed under the Creative Commons Attribution 4.0 International License."),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "Proprietary": ("Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited.",),
 }
 CUE = "licen[cs]e|copyright|spdx|all rights reserved|redistribution"
 CUE_STEMS = ("licen", "copyright", "spdx", "all rights reserved", "redistribution")
@@ -75,17 +75,17 @@ def _total(tokens: str, weights: Column) -> Column:
     return F.aggregate(tokens, F.lit(0.0), lambda acc, w: acc + F.coalesce(F.element_at(weights, w), F.lit(0.0)))
 
 
-def matched(files: DataFrame, rules: LicenceRules = LicenceRules(), text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def matched(files: DataFrame, rules: LicenceRules = LicenceRules(), text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """files with own_licence, similarity and licence_share. Only counts of the templates' words come to the driver."""
-    counts = {name: template_words(t) for name, t in templates.items()}
-    vocabulary = sorted({w for c in counts.values() for w in c})
+    counts = [(name, template_words(t)) for name in sorted(templates) for t in templates[name]]
+    vocabulary = sorted({w for _, c in counts for w in c})
     found = files.withColumn("_tokens", stripped(words(passages(F.col(text_col)))))
     with_any = found.where(F.size("_tokens") > 0)
     known = F.array_intersect(F.col("_tokens"), F.array(*map(F.lit, vocabulary)))
     rows = with_any.select(F.explode(F.array_append(known, F.lit(""))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     df = {r["word"]: r["n"] for r in rows}
     n = df.pop("", 0)
-    idf = {w: math.log((1 + n + len(templates)) / (1 + df.get(w, 0) + sum(w in c for c in counts.values()))) + 1 for w in vocabulary}
+    idf = {w: math.log((1 + n + len(counts)) / (1 + df.get(w, 0) + sum(w in c for _, c in counts))) + 1 for w in vocabulary}
     weight = F.map_from_arrays(F.array(*map(F.lit, vocabulary)), F.array(*[F.lit(idf[w]) for w in vocabulary]))
     runs = F.aggregate(
         F.array_sort("_tokens"),
@@ -96,8 +96,8 @@ def matched(files: DataFrame, rules: LicenceRules = LicenceRules(), text_col: st
         lambda acc: F.sqrt(acc["total"] + F.pow(acc["run"] * F.coalesce(F.element_at(weight, acc["word"]), F.lit(1.0)), F.lit(2.0))),
     )
     scores = []
-    for name in sorted(counts):
-        vector = {w: c * idf[w] for w, c in counts[name].items()}
+    for name, bag in counts:
+        vector = {w: c * idf[w] for w, c in bag.items()}
         norm = math.sqrt(sum(v * v for v in vector.values()))
         parts = F.map_from_arrays(F.array(*map(F.lit, vector)), F.array(*[F.lit(v * idf[w] / norm) for w, v in vector.items()]))
         dot = _total("_tokens", parts)
@@ -116,7 +116,7 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
 
 
-def scan(files: DataFrame, rules: LicenceRules = LicenceRules(), path_col: str = "path", text_col: str = "text", templates: dict[str, str] = TEMPLATES, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(files: DataFrame, rules: LicenceRules = LicenceRules(), path_col: str = "path", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per file: keep columns, path, own_licence, similarity, licence_share, licence, inherited_from."""
     judged = stored(matched(files.select(*keep, path_col, text_col), rules, text_col, templates).select(*keep, path_col, "own_licence", "similarity", "licence_share"), "licences")
     by_name = F.regexp_extract(path_col, r"([^/]*)$", 1).rlike(r"(?i)^(licen[cs]e|copying|unlicense)([.-].*)?$")

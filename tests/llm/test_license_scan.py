@@ -6,7 +6,7 @@ import pytest
 
 from graphloom.llm import license_scan as s
 
-APACHE, MIT = s.TEMPLATES["Apache-2.0"], s.TEMPLATES["MIT"]
+APACHE, MIT = (" ".join(s.TEMPLATES[k]) for k in ("Apache-2.0", "MIT"))
 PROSE = "Words about nothing in particular go on and on. " * 20
 FILES = [
     ("a/LICENSE", APACHE), ("a/b/x.py", PROSE), ("a/b/c/y.py", "Released under the MIT License.\n" + PROSE), ("a/b/c/z.py", PROSE),
@@ -32,20 +32,20 @@ def test_inheritance(files):
 
 def test_similarity_by_hand(files):
     """Every file's best cosine, from counts and logarithms alone."""
-    vocab = {n: s.template_words(t) for n, t in s.TEMPLATES.items()}
+    vocab = [(n, s.template_words(t)) for n, ts in s.TEMPLATES.items() for t in ts]
     bags = {}
     for k, (_, text) in enumerate(FILES):
         parts = [p for p in re.split(r"\n|(?<=[.;])\s+(?=[A-Z])", text or "") if re.search(s.CUE, p, re.I)]
         if parts:
             bags[k] = s.template_words("\n".join(parts))
-    all_words = {w for c in vocab.values() for w in c}
-    idf = {w: math.log((1 + len(bags) + len(vocab)) / (1 + sum(w in b for b in bags.values()) + sum(w in c for c in vocab.values()))) + 1 for w in all_words}
+    all_words = {w for _, c in vocab for w in c}
+    idf = {w: math.log((1 + len(bags) + len(vocab)) / (1 + sum(w in b for b in bags.values()) + sum(w in c for _, c in vocab))) + 1 for w in all_words}
     cos = lambda a, b: sum(a[w] * b[w] * idf[w] ** 2 for w in b) / math.sqrt(sum((c * idf.get(w, 1)) ** 2 for w, c in a.items()) * sum((c * idf[w]) ** 2 for w, c in b.items()))
     for r in s.matched(files).collect():
         if r.n not in bags:
             assert r.own_licence is None and r.similarity is None
             continue
-        best, name = min((-round(cos(Counter(bags[r.n]), c), 9), n) for n, c in vocab.items())
+        best, name = min((-round(cos(Counter(bags[r.n]), c), 9), n) for n, c in vocab)
         assert (r.own_licence == name and abs(r.similarity + best) < 1e-8) if -best >= 0.55 else r.own_licence is None
 
 
