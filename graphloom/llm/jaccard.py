@@ -41,6 +41,7 @@ class JoinRules:
     chunk: int = 500  #: texts that are kept together
     block: int = 256  #: texts of a large group that meet at once
     fragment: int = 4096  #: shingles whose overlaps are counted at once
+    broadcast_rows: int = 500_000  #: most keys of possible partners (20 MB) that are sent to the texts; beyond, texts are shuffled
 
 
 def shingles(text: str, hashes: WordHashes, n: int) -> np.ndarray:
@@ -315,6 +316,8 @@ def join(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_id"
 
 def _sets(docs: DataFrame, wanted: DataFrame, rules: JoinRules) -> DataFrame:
     """node and packed shingles of the first copies in `wanted`, made again from their texts."""
+    if wanted.count() <= rules.broadcast_rows:
+        wanted = F.broadcast(wanted)
     same = (docs["key"] == wanted["key"]) & docs["id"].eqNullSafe(wanted["id"])
     texts = docs.join(wanted, same).select("node", "text").dropDuplicates(["node"])
 
