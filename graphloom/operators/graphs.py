@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.arrays import gaussian_weight, hash_uniform
+from graphloom.functions.arrays import dot, gaussian_weight, hash_normal, hash_uniform, norm, scaled
 
 
 def node_range(spark: SparkSession, count: int, first: int = 0) -> DataFrame:
@@ -217,3 +217,30 @@ def cut(edges: DataFrame, clusters: DataFrame) -> DataFrame:
 def border_nodes(points: DataFrame, x: str = "x") -> DataFrame:
     """The leftmost node of cluster 0 and the rightmost of cluster 1."""
     return points.agg(F.min(F.when(F.col("cluster") == 0, F.struct(x, "nid"))).alias("a"), F.max(F.when(F.col("cluster") == 1, F.struct(x, "nid"))).alias("b")).select(F.col("a.nid").alias("leftmost"), F.col("b.nid").alias("rightmost"))
+
+
+def attributed_nodes(spark: SparkSession, count: int, clusters: int, dimension: int, noise: float = 0.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Nodes (nid, cluster, feature, label) and parameters (cluster, weights): clusters by hash, features of +1 and -1, a cluster's
+    weights uniform, labels their product plus normal noise."""
+    places = F.sequence(F.lit(0), F.lit(dimension - 1))
+    weights = spark.range(clusters).select(F.col("id").cast("int").alias("cluster"), F.transform(places, lambda k: hash_uniform(F.col("id") + 1000, k, seed + 1)).alias("weights"))
+    cluster = F.floor(hash_uniform("nid", F.lit(7), seed) * clusters).cast("int")
+    feature = F.transform(places, lambda k: F.when(hash_uniform("nid", k + 13, seed + 2) < 0.5, -1.0).otherwise(1.0))
+    nodes = node_range(spark, count).select("nid", cluster.alias("cluster"), feature.alias("feature"))
+    label = dot("feature", "weights") + noise * hash_normal("nid", F.lit(29), seed + 3)
+    return nodes.join(F.broadcast(weights), "cluster").select("nid", "cluster", "feature", label.alias("label")), weights  # a row a cluster
+
+
+def unit_features(nodes: DataFrame, dimension: int = 2, scale: float = 0.01, seed: int = 0) -> DataFrame:
+    """nodes (nid, cluster) with unit-length normal features and labels by the cluster's weights, plus or minus scale / sqrt(dimension)."""
+    raw = F.transform(F.sequence(F.lit(1), F.lit(dimension)), lambda k: hash_normal("nid", k, seed))
+    made = nodes.withColumn("_raw", raw).withColumn("feature", scaled("_raw", 1.0 / norm("_raw"))).drop("_raw")
+    value = F.lit(scale / dimension**0.5) * F.when(F.col("cluster") == 0, 1.0).otherwise(-1.0)
+    return made.withColumn("label", F.aggregate("feature", F.lit(0.0), lambda s, x: s + x) * value)
+
+
+def geometric_clusters(spark: SparkSession, first: int, second: int, radius: float, shift: float = 1.0, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points of two unit squares, `shift` apart, linked within the radius: nodes (nid, cluster, x, y), edges, and the nodes at the border."""
+    nodes = node_range(spark, first + second).withColumn("cluster", (F.col("nid") >= first).cast("int"))
+    nodes = nodes.select("nid", "cluster", (hash_uniform("nid", seed=seed) + F.col("cluster") * shift).alias("x"), hash_uniform(F.lit(0), "nid", seed).alias("y"))
+    return nodes, radius_graph(nodes, radius).select("src", "dst", F.lit(1.0).alias("w")), border_nodes(nodes)

@@ -76,3 +76,25 @@ def detection_counts(df: DataFrame, truth: str, estimate: str, by: list[str]) ->
     t, e = F.col(truth), F.col(estimate)
     out = df.groupBy(*by).agg(F.count_if(t & e).alias("hits"), F.count_if(~t & e).alias("false_alarms"), F.count_if(t & ~e).alias("misses"))
     return out.withColumn("success", (F.col("false_alarms") == 0) & (F.col("misses") == 0))
+
+
+def mean_vector(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
+    """Component-wise means of an array column, by keys: components are averaged before they move."""
+    parts = df.select(*by, F.posexplode(vector).alias("_k", "_v")).groupBy(*by, "_k").agg(F.avg("_v").alias("_v"))
+    return parts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda s: s["_v"]).alias("mean"))
+
+
+def squared_deviation(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
+    """Sum over rows of the squared distance to the mean vector, by keys."""
+    gap = F.aggregate(F.zip_with(F.col(vector), F.col("mean"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return df.join(mean_vector(df, vector, by), by).groupBy(*by).agg(F.sum(gap).alias("deviation"))
+
+
+def same_set(a: str, b: str) -> Column:
+    """Whether two arrays hold the same members, in any order."""
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
+def running_total(df: DataFrame, key: str, order: list[str], value: str, out: str = "running") -> DataFrame:
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(out, F.sum(value).over(w))

@@ -182,10 +182,7 @@ def propagation_rates(spark: SparkSession, boundaries: list[float], runs: int, s
         seeds = np.zeros(n, bool)
         seeds[[0, n - 1]] = True
         x, average, _ = learning.run(src, dst, w, truth, seeds, learning.SPARSE_LABEL_PROPAGATION, rounds)
-        mean = np.where(seeds, truth, 0.0)
-        degree_ = np.maximum(np.bincount(src, minlength=n) + np.bincount(dst, minlength=n), 1)
-        for _ in range(rounds):
-            mean = np.where(seeds, truth, (np.bincount(src, mean[dst], n) + np.bincount(dst, mean[src], n)) / degree_)
+        mean = averaged_labels(src, dst, truth, seeds, rounds)
         error = lambda v: float(((v - truth) ** 2).sum() / (truth**2).sum())
         return pd.DataFrame([(boundary, run, flow / max(1, int(crossing.sum())), error(average), error(mean))], columns=["boundary", "run", "flow_ratio", "sparse", "averaged"])
 
@@ -218,3 +215,72 @@ def clustering_bounds(spark: SparkSession, nodes: int, edge_counts: list[int], p
 def success_rate(found: DataFrame, by: list[str], success: str = "found") -> DataFrame:
     return found.groupBy(*by).agg(F.avg(F.col(success).cast("double")).alias("rate"))
 
+
+
+def block_model_rates(spark: SparkSession, inside: float, across: list[float], runs: int, sizes: tuple[int, ...] = (10, 10, 10), labelled: int = 5, rounds: int = 1000, seed: int = 1) -> DataFrame:
+    """(ratio, sparse, averaged): relative errors of sparse label propagation and neighbour averaging on block models, by the ratio of the
+    two probabilities; the first `labelled` nodes of a cluster are labelled with its number. Probabilities above 1 count as 1."""
+    rows = pd.DataFrame([(float(q), r) for q in across for r in range(runs)], columns=["across", "run"])
+
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        q, run = float(key[0]), int(key[1])
+        src, dst, cluster = block_graph(sizes, inside, q, rng(seed, int(q * 10_000), run))
+        seeds = np.concatenate([np.arange(n) < labelled for n in sizes])
+        truth = cluster + 1.0
+        _, sparse, _ = learning.run(src, dst, np.ones(len(src)), truth, seeds, learning.BLOCK_MODEL_VARIANT, rounds)
+        mean = averaged_labels(src, dst, truth, seeds, rounds)
+        error = lambda v: float(((v - truth) ** 2).sum() / (truth**2).sum())
+        return pd.DataFrame([(q, run, error(sparse), error(mean))], columns=["across", "run", "sparse", "averaged"])
+
+    found = spark.createDataFrame(rows).groupBy("across", "run").applyInPandas(work, "across double, run int, sparse double, averaged double")
+    return found.groupBy((F.lit(float(inside)) / F.col("across")).alias("ratio")).agg(F.avg("sparse").alias("sparse"), F.avg("averaged").alias("averaged"))
+
+
+def partial_label_rates(spark: SparkSession, shares: list[float], across: list[float], runs: int, size: int = 50, inside: float = 0.3, rounds: int = 1000, seed: int = 1) -> DataFrame:
+    """(share, across, accuracy): share of unlabelled nodes of a two-cluster block model that sparse label propagation puts within one
+    half of their label. The first ceil(share size) nodes of cluster 0 are labelled, and one more in cluster 1."""
+    rows = pd.DataFrame([(float(a), float(q), r) for a in shares for q in across for r in range(runs)], columns=["share", "across", "run"])
+
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        share, q, run = float(key[0]), float(key[1]), int(key[2])
+        src, dst, cluster = block_graph((size, size), inside, q, rng(seed, int(share * 1000), int(q * 10_000), run))
+        count = int(np.ceil(share * size))
+        seeds = np.concatenate([np.arange(size) < count, np.arange(size) < count + 1])
+        x, average, _ = learning.run(src, dst, np.ones(len(src)), cluster.astype(float), seeds, learning.BLOCK_MODEL_VARIANT, rounds)
+        accuracy = float((np.abs(average - cluster) < 0.5)[~seeds].mean())
+        return pd.DataFrame([(share, q, run, accuracy)], columns=["share", "across", "run", "accuracy"])
+
+    found = spark.createDataFrame(rows).groupBy("share", "across", "run").applyInPandas(work, "share double, across double, run int, accuracy double")
+    return found.groupBy("share", "across").agg(F.avg("accuracy").alias("accuracy"))
+
+
+def block_graph(sizes: tuple[int, ...], inside: float, across: float, g: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cluster = np.repeat(np.arange(len(sizes)), sizes)
+    a, b = np.triu_indices(len(cluster), 1)
+    kept = g.random(len(a)) < np.minimum(1, np.where(cluster[a] == cluster[b], inside, across))
+    return a[kept], b[kept], cluster
+
+
+def averaged_labels(src: np.ndarray, dst: np.ndarray, truth: np.ndarray, seeds: np.ndarray, rounds: int) -> np.ndarray:
+    """Neighbour averages with clamped labels, from 0."""
+    n = len(truth)
+    degree = np.bincount(src, minlength=n) + np.bincount(dst, minlength=n)
+    x = np.where(seeds, truth, 0.0)
+    for _ in range(rounds):
+        near = np.bincount(src, x[dst], n) + np.bincount(dst, x[src], n)
+        x = np.where(seeds, truth, np.divide(near, degree, out=x.copy(), where=degree > 0))
+    return x
+
+
+def sample_table(spark: SparkSession, p: int, factor: float, blocks: int, length: int, runs: int, seed: int = 1) -> DataFrame:
+    """(run, block, t, node, x): blockwise normal samples of chain models in long form, one task per run and block."""
+    tasks = spark.range(runs).select(F.col("id").cast("int").alias("run")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        run, block = int(key[0]), int(key[1])
+        cov = np.linalg.inv(chain_precisions(p, factor, blocks)[block])
+        x = blockwise_samples(cov[None], length, rng(seed, p, run, block))[0]
+        t, node = np.meshgrid(np.arange(length), np.arange(p), indexing="ij")
+        return pd.DataFrame({"run": run, "block": block, "t": (block * length + t + 1).ravel(), "node": node.ravel(), "x": x.ravel()})
+
+    return tasks.groupBy("run", "block").applyInPandas(work, "run int, block int, t long, node int, x double")

@@ -425,6 +425,32 @@ def pixel_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pixels(part)
 
 
+@query("""
+SELECT a.nid, CAST(floor(((a.nid * 7919 + 7 * 104729) % 1000003) / 1000003.0 * 3) AS INTEGER) AS cluster,
+  round(list_sum([CASE WHEN ((a.nid * 7919 + (k + 13) * 104729 + 2 * 15485863) % 1000003) / 1000003.0 < 0.5 THEN -1.0 ELSE 1.0 END
+    * ((((CAST(floor(((a.nid * 7919 + 7 * 104729) % 1000003) / 1000003.0 * 3) AS BIGINT) + 1000) * 7919 + k * 104729 + 15485863) % 1000003) / 1000003.0) FOR k IN [0, 1]]), 6) + 0.0 AS label
+FROM (SELECT unnest(generate_series(0, 99)) AS nid) a
+""")
+def attributed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.attributed_nodes(spark, 100, 3, 2)[0].select("nid", "cluster", six("label").alias("label"))
+
+
+@query("""
+WITH v AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
+m AS (SELECT label, k, avg(x) AS mean FROM v GROUP BY 1, 2)
+SELECT v.label, round(sum((x - mean) * (x - mean)), 6) + 0.0 AS deviation FROM v JOIN m USING (label, k) GROUP BY v.label
+""")
+def squared_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    return tabular.squared_deviation(vectors, "v", ["label"]).select("label", six("deviation").alias("deviation"))
+
+
+@query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS running FROM orders")
+def running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return tabular.running_total(orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_custkey", "o_orderkey", six("running").alias("running"))
+
+
 # Learning -------------------------------------------------------------------------------------------------------------------
 
 
@@ -675,6 +701,24 @@ def propagation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.propagation_rates(spark, [4.0, 20.0], 3, rounds=300)
 
 
+@query()
+def block_model_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.block_model_rates(spark, 0.8, [0.05, 0.2, 1.5], 4, rounds=300)
+
+
+@query()
+def partial_label_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.partial_label_rates(spark, [0.1, 0.3], [0.01, 0.1], 3, rounds=300)
+
+
+@query()
+def sampled_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples in long form, through the Gram blocks and the column expressions: the best neighbours of node 1."""
+    samples = experiments.sample_table(spark, 8, 1.2, 4, 200, 1).where("run = 0")
+    scored = selection.scores(selection.residuals(selection.gram(samples, "node"), 1), 200, 0.02)
+    return selection.best(scored, []).select(F.transform("members", lambda m: m.cast("string")).alias("members"), "card", six("score").alias("score"))
+
+
 @query()
 def clustering_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.clustering_bounds(spark, 60, [200, 400, 800])

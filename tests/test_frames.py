@@ -172,3 +172,22 @@ def test_difference_stream(spark, tmp_path):
 def test_scaled_axis(spark):
     got = spark.range(1).select(series.scaled_size(F.lit(40.0), F.lit(1.2), F.lit(512)).alias("s")).first().s
     assert got == pytest.approx(40 * 1.44 / math.log(512))
+
+
+def test_models_with_attributes(spark):
+    nodes, weights = graphs.attributed_nodes(spark, 60, 3, 2)
+    held = {r.cluster: r.weights for r in weights.collect()}
+    for r in nodes.collect():
+        assert r.label == pytest.approx(np.dot(r.feature, held[r.cluster])) and set(r.feature) <= {-1.0, 1.0}
+    unit = graphs.unit_features(nodes.select("nid", "cluster")).collect()
+    assert all(np.linalg.norm(r.feature) == pytest.approx(1) for r in unit)
+    points, edges, border = graphs.geometric_clusters(spark, 40, 40, 0.2)
+    assert points.count() == 80 and edges.where("src >= dst").count() == 0 and border.first().rightmost >= 40
+
+
+def test_sets_and_samples(spark):
+    df = spark.createDataFrame([([1, 2], [2, 1, 1]), ([1], [2])], "a array<int>, b array<int>")
+    assert [r.s for r in df.select(tabular.same_set("a", "b").alias("s")).collect()] == [True, False]
+    samples = experiments.sample_table(spark, 3, 1.0, 2, 5, 2)
+    assert samples.count() == 2 * 2 * 5 * 3 and samples.where("block = 1").agg(F.min("t")).first()[0] == 6
+    assert sorted(map(tuple, samples.collect())) == sorted(map(tuple, samples.collect()))
