@@ -18,6 +18,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -130,18 +131,20 @@ class Items:
 def leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance, start, end of every item that a document holds."""
     ship_package(docs.sparkSession)
-    spark = docs.sparkSession
     kind = benchmark.schema["item_id"].dataType
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("item_id", kind), *(T.StructField(c, T.LongType()) for c in ("distance", "start", "end"))])
+    read = docs.select(id_col, text_col)
+    return reduce(DataFrame.unionAll, [_scan(read, held, schema, rules) for held in item_blocks(benchmark, rules)])
+
+
+def item_blocks(benchmark: DataFrame, rules: LeakRules) -> list:
+    """The items as broadcasts of about block_chars characters at most, one at least."""
+    spark = benchmark.sparkSession
     items = benchmark.where("text IS NOT NULL").select("item_id", "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // rules.block_chars))
-    result = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        held = spark.sparkContext.broadcast(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=str))
-        result = _scan(docs.select(id_col, text_col), held, schema, rules) if blocks == 1 else result.unionAll(_scan(docs.select(id_col, text_col), held, schema, rules))
-    return result
+    count = max(1, -(-chars // rules.block_chars))
+    parts = [items] if count == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) for k in range(count)]
+    return [spark.sparkContext.broadcast(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=str)) for part in parts]
 
 
 def _scan(docs: DataFrame, held, schema: T.StructType, rules: LeakRules) -> DataFrame:
@@ -157,15 +160,9 @@ def _scan(docs: DataFrame, held, schema: T.StructType, rules: LeakRules) -> Data
 
 def clean(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
     """The documents that hold no item, judged by their own text; all columns stay."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    items = benchmark.where("text IS NOT NULL").select("item_id", "text")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // rules.block_chars))
+    ship_package(docs.sparkSession)
     at, out = docs.columns.index("text"), docs
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        held = spark.sparkContext.broadcast(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=str))
+    for held in item_blocks(benchmark, rules):
 
         def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             items = Items(held.value, rules)
