@@ -14,6 +14,7 @@ from graphloom.functions import arrays
 from graphloom.kernels import networks, regression
 from graphloom.operators import graphs, learning, selection, series, tabular
 from graphloom.plans import experiments
+from graphloom.plans.state import settled
 from graphloom.sources import observations as weather
 from graphloom.sources import tables
 
@@ -53,7 +54,8 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.gram(days(spark, sf_dir))
+    """The Gram blocks, made once: every candidate is scored from them, and they are far smaller than the samples."""
+    return settled(selection.gram(days(spark, sf_dir)))
 
 
 # Tabular --------------------------------------------------------------------------------------------------------------------
@@ -135,7 +137,7 @@ def block_center(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {GRAM} SELECT block, i, j, round(g, 6) + 0.0 AS g FROM gr")
 def block_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grams(spark, sf_dir).select("block", "i", "j", six("g").alias("g"))
+    return selection.gram(days(spark, sf_dir)).select("block", "i", "j", six("g").alias("g"))
 
 
 @query(f"WITH {HOURLY} SELECT a.series AS i, b.series AS j, round(covar_samp(a.x, b.x), 6) + 0.0 AS cov FROM s a JOIN s b ON a.t = b.t GROUP BY 1, 2")
