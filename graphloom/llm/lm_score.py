@@ -5,11 +5,12 @@ one smoothing, so per-token loss differences compare like with like:
     p(w | h) = share * c(h w) / c(h) + (1 - share) * (c(w) + 1) / (N + V)
 score = mean over tokens of (target loss - background loss), in nats; lower is closer to the target.
 
-The vocabulary holds every word that occurs at least as often as the least count with which it has at most `vocabulary` words;
-the others are one unknown word, so ids fit 16 bits and what is broadcast is bounded. Documents are encoded once, in batches. Each
-batch sends its distinct bigrams with their counts to the fragments of the bigram space, where both models' counts meet, and
-gets back the two counts of each: hot bigrams travel once per batch. The ids of target documents are broadcast up to a checked
-number; beyond it they are joined.
+Every word counts as itself, as a 64-bit hash, at every size of the input: no table of words is broadcast or comes to the driver. A
+bound on the vocabulary can be set; it then holds every word that occurs at least as often as the least count with which it has at most
+`vocabulary` words, and the others are one unknown word. Documents are encoded once, in batches. Each batch sends its distinct bigrams
+and words with their counts to the fragments of the hash space, where both models' counts meet, and gets back the two counts of
+each and the number of different words in each fragment: hot ones travel once per batch. The ids of target documents are broadcast
+up to a checked number; beyond it they are joined.
 
 Defined results: null and empty texts have no tokens and null losses; repeated rows count and score each; a null id stays null; null
 labels and labels without document don't train; without a labelled document the target model is the smoothing alone.
@@ -24,18 +25,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, ship_package, stored, texts_of
+from .common import MULTIPLIERS, WordHashes, mixed, parallelism, ship_package, stored, texts_of, word_array
 
-UNKNOWN, BEGIN = 0, 1
+UNKNOWN, BEGIN = b" ", b"\n"  #: no word has blanks
 
 
 @dataclass(frozen=True)
 class LmRules:
-    vocabulary: int = 60_000  #: most words; below 65,534
+    vocabulary: int | None = None  #: most words; all of them where it is unset
     share: float = 0.7  #: of the bigram in the interpolation
     batch_tokens: int = 1_000_000
     broadcast_ids: int = 2_000_000  #: most target ids (16 MB) that are broadcast
@@ -76,22 +78,28 @@ def vocabulary(docs: DataFrame, most: int, text_col: str = "text") -> list[bytes
     return [r["word"] for r in sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))]
 
 
-def _encoded(docs: DataFrame, words: list[bytes], targets: np.ndarray | None, rules: LmRules, id_col: str, text_col: str) -> DataFrame:
-    """Batches of documents: ids, lengths and 16-bit tokens, packed, and which of them are targets: the sorted ids in `targets`, or
-    those with _target."""
+def _encoded(docs: DataFrame, words: list[bytes] | None, targets: np.ndarray | None, rules: LmRules, id_col: str, text_col: str) -> DataFrame:
+    """Batches of documents: ids, lengths, the hashes of their words and tokens as places among these, packed, and which of them are
+    targets: the sorted ids in `targets`, or those with _target."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
     chosen = docs.sparkSession.sparkContext.broadcast(targets)
-    schema = "batch long, ids binary, known binary, target binary, lengths binary, tokens binary"
+    schema = "batch long, ids binary, known binary, target binary, lengths binary, words binary, tokens binary, n long, n_target long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = {w: k + 2 for k, w in enumerate(shared.value)}
+        kept = None if shared.value is None else frozenset(shared.value)
+        hashes = WordHashes()
         number, rows, size = TaskContext.get().partitionId() << 32, [], 0
 
         def packed() -> pa.RecordBatch:
-            blobs = (np.array([r[0] or 0 for r in rows], np.int64), np.array([r[0] is not None for r in rows], np.uint8), np.array([r[1] for r in rows], np.uint8), np.array([len(r[2]) for r in rows], np.int64), np.concatenate([r[2] for r in rows]))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["batch", "ids", "known", "target", "lengths", "tokens"])
-
-        get, wanted = ids.get, chosen.value
+            lengths, target = np.array([len(r[2]) for r in rows], np.int64), np.array([r[1] for r in rows], np.uint8)
+            used, tokens, often = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # small places for frequent words compress well
+            used, tokens = used[order], np.argsort(order)[tokens]
+            blobs = (np.array([r[0] or 0 for r in rows], np.int64).tobytes(), np.array([r[0] is not None for r in rows], np.uint8).tobytes(), target.tobytes(), lengths.tobytes(), used.tobytes(), planes(tokens.astype(np.uint32)))
+            sums = (int(lengths.sum()), int(lengths[target > 0].sum()))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs), *(pa.array([n], pa.int64()) for n in sums)], names=["batch", "ids", "known", "target", "lengths", "words", "tokens", "n", "n_target"])
+
+        wanted = chosen.value
         for batch in batches:
             docs_ = batch.column(0).to_pylist()
             if wanted is None:
@@ -99,7 +107,10 @@ def _encoded(docs: DataFrame, words: list[bytes], targets: np.ndarray | None, ru
             else:
                 marks = np.isin(np.array([-1 if d is None else d for d in docs_], np.int64), wanted) & np.array([d is not None for d in docs_], bool)
             for doc, text, target in zip(docs_, texts_of(batch.column(1)), marks, strict=True):
-                tokens = np.array([get(w, UNKNOWN) for w in words_of(text)], np.uint16)
+                found = words_of(text)
+                if kept is not None:
+                    found = [w if w in kept else UNKNOWN for w in found]
+                tokens = word_array(found, hashes)
                 rows.append((doc, bool(target), tokens))
                 size += len(tokens)
                 if size >= rules.batch_tokens:
@@ -111,52 +122,67 @@ def _encoded(docs: DataFrame, words: list[bytes], targets: np.ndarray | None, ru
     return docs.select(id_col, text_col, *(["_target"] if targets is None else [])).mapInArrow(work, schema)
 
 
-def bigrams(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """history << 16 | word for every token; a document begins after BEGIN."""
-    before = np.empty(len(tokens), np.uint32)
-    before[1:] = tokens[:-1]
-    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
-    before[starts] = BEGIN
-    return before << np.uint32(16) | tokens.astype(np.uint32)
+def planes(x: np.ndarray) -> bytes:
+    """x compressed, the first bytes of all numbers before all second ones: small numbers take little."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
 
 
-def spread(keys: np.ndarray) -> np.ndarray:
-    """A bijection on 32-bit values that deals bigrams evenly."""
-    x = keys ^ (keys >> np.uint32(16))
-    x = x * np.uint32(0x45D9F3B5)
-    return x ^ (x >> np.uint32(15))
+def unplaned(blob: bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(wide, len(flat) // wide).T).reshape(-1).view(kind)
 
 
-def _unigrams(encoded: DataFrame) -> np.ndarray:
-    """Counts as word (rows 0, 1) and as history (rows 2, 3), of target and background: 4 x 65,536 numbers."""
+@dataclass
+class Asked:
+    """What a batch asks for: its distinct bigrams and its words, BEGIN as the first of them."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, 1 << 16), np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                lengths, tokens = np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["tokens"], np.uint16)
-                histories = bigrams(tokens, lengths) >> np.uint32(16)
-                chosen = np.repeat(np.frombuffer(row["target"], np.uint8), lengths) > 0
-                total[0] += np.bincount(tokens[chosen], minlength=1 << 16)
-                total[1] += np.bincount(tokens, minlength=1 << 16)
-                total[2] += np.bincount(histories[chosen], minlength=1 << 16)
-                total[3] += np.bincount(histories, minlength=1 << 16)
-        at = np.nonzero(total.sum(axis=0))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(t[at], pa.int64()) for t in total)], names=["word", "a", "b", "c", "d"])
-
-    rows = encoded.select("target", "lengths", "tokens").mapInArrow(work, "word long, a long, b long, c long, d long").groupBy("word").agg(*[F.sum(c).alias(c) for c in "abcd"]).collect()
-    total = np.zeros((4, 1 << 16), np.int64)
-    for r in rows:
-        total[:, r["word"]] = [r[c] for c in "abcd"]
-    return total
-
-
-def losses(keys: np.ndarray, joint: np.ndarray, words: np.ndarray, histories: np.ndarray, size: int, share: float) -> np.ndarray:
-    """-log p(w | h) in one model, from its counts."""
-    h, w = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
-    seen = histories[h]
-    pair = np.where(seen > 0, joint / np.maximum(seen, 1), 0.0)
-    return -np.log(share * pair + (1 - share) * (words[w] + 1) / (words.sum() + size))
+    lengths: np.ndarray
+    tokens: np.ndarray  #: places among the words
+    before: np.ndarray  #: of each distinct bigram, the place of its history
+    after: np.ndarray  #: and of its word
+    where: np.ndarray  #: the bigram of every token
+    pairs: np.ndarray  #: hashes of the bigrams
+    words: np.ndarray  #: and of the words
+
+    @classmethod
+    def of(cls, row: dict) -> Asked:
+        lengths, tokens = np.frombuffer(row["lengths"], np.int64), unplaned(row["tokens"], np.uint32).astype(np.int64) + 1
+        words = np.concatenate([word_array([BEGIN], WordHashes()), np.frombuffer(row["words"], np.uint64)])
+        histories = np.zeros(len(tokens), np.int64)
+        histories[1:] = tokens[:-1]
+        histories[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
+        both, where = np.unique(histories << 32 | tokens, return_inverse=True)
+        before, after = both >> 32, both & 0xFFFFFFFF
+        return cls(lengths, tokens, before, after, where, mixed(words[before] * np.uint64(MULTIPLIERS[0]) + words[after] * np.uint64(MULTIPLIERS[1])), mixed(words))
+
+    def counts(self, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+        """How often each bigram, word as such and word as history occurs among the chosen tokens."""
+        where, n = self.where[chosen], len(self.words)
+        found = (np.bincount(where, minlength=len(self.pairs)), np.bincount(self.tokens[chosen], minlength=n), np.bincount(self.before[where], minlength=n))
+        return tuple(x.astype(np.int32) for x in found)
+
+    def losses(self, joint: np.ndarray, words: np.ndarray, histories: np.ndarray, total: int, size: int, share: float) -> np.ndarray:
+        """-log p(w | h) of every token in one model, from the model's counts of what was asked for."""
+        seen = histories[self.before]
+        pair = np.where(seen > 0, joint / np.maximum(seen, 1), 0.0)
+        return -np.log(share * pair + (1 - share) * (words[self.after] + 1) / (total + size))[self.where]
+
+
+def dealt(hashes: np.ndarray, fragments: int) -> list[np.ndarray]:
+    """The places of the hashes of each fragment, by hash; fragments are ranges of hashes."""
+    order = np.argsort(hashes, kind="stable")
+    fragment = (hashes[order] >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
+    return np.split(order, np.searchsorted(fragment, np.arange(1, fragments, dtype=np.uint64)))
+
+
+def gaps(ascending: np.ndarray) -> bytes:
+    """Ascending hashes by their differences, which are smaller."""
+    return planes(np.diff(ascending, prepend=np.uint64(0)))
+
+
+def ungapped(blob: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(blob, np.uint64), dtype=np.uint64)
 
 
 def score(docs: DataFrame, labels: DataFrame, rules: LmRules = LmRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,62 +190,65 @@ def score(docs: DataFrame, labels: DataFrame, rules: LmRules = LmRules(), id_col
     spark = docs.sparkSession
     ship_package(spark)
     good = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max("quality") > 0).alias("_target")).where("_target")
-    words = vocabulary(docs, rules.vocabulary, text_col)
-    size = len(words) + 2
+    words = None if rules.vocabulary is None else vocabulary(docs, rules.vocabulary, text_col)
     few = good.count() <= rules.broadcast_ids
     targets = np.sort(good.select(id_col).toPandas()[id_col].to_numpy(np.int64)) if few else None
     read = docs.select(id_col, text_col)
     encoded = stored(_encoded(read if few else read.join(good, id_col, "left"), words, targets, rules, id_col, text_col), "encoded")
-    unigrams = spark.sparkContext.broadcast(_unigrams(encoded))
-    tokens = int(unigrams.value[1].sum())
-    fragments = max(parallelism(spark), tokens // 2_000_000)
+    sums = encoded.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_target", "n")]).first()
+    totals = (sums["n_target"], sums["n"])
+    fragments = max(parallelism(spark), totals[1] // 2_000_000)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                lengths = np.frombuffer(row["lengths"], np.int64)
-                keys = bigrams(np.frombuffer(row["tokens"], np.uint16), lengths)
-                unique, where, counts = np.unique(keys, return_inverse=True, return_counts=True)
-                chosen = np.repeat(np.frombuffer(row["target"], np.uint8), lengths) > 0
-                target = np.bincount(where[chosen], minlength=len(unique)).astype(np.int32)
-                fragment = spread(unique) % np.uint32(fragments)
-                order = np.argsort(fragment, kind="stable")
-                used, begins = np.unique(fragment[order], return_index=True)
-                parts = np.split(order, begins[1:]) if len(used) else []
-                blobs = [(unique[p].tobytes(), target[p].tobytes(), counts[p].astype(np.int32).tobytes()) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([row["batch"]] * len(used), pa.int64()), *(pa.array([b[k] for b in blobs], pa.binary()) for k in range(3))], names=["fragment", "batch", "bigrams", "target", "counts"])
+                asked = Asked.of(row)
+                chosen = np.repeat(np.frombuffer(row["target"], np.uint8), asked.lengths) > 0
+                target, background = asked.counts(chosen), asked.counts(np.ones(len(asked.tokens), bool))
+                blobs = []
+                for p, w in zip(dealt(asked.pairs, fragments), dealt(asked.words, fragments), strict=True):
+                    both = (np.concatenate([joint[p], single[w], history[w]]) for joint, single, history in (target, background))
+                    blobs.append((gaps(asked.pairs[p]), gaps(asked.words[w]), *map(planes, both)))
+                yield pa.RecordBatch.from_arrays([pa.array(range(fragments), pa.int64()), pa.array([row["batch"]] * fragments, pa.int64()), *(pa.array([b[k] for b in blobs], pa.binary()) for k in range(4))], names=["fragment", "batch", "pairs", "words", "target", "background"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(x, np.uint32) for x in pdf["bigrams"]]
-        unique, where = np.unique(np.concatenate(parts), return_inverse=True)
+        places = []
+        for column in ("pairs", "words"):
+            parts = [ungapped(x) for x in pdf[column]]
+            unique, where = np.unique(np.concatenate(parts), return_inverse=True)
+            places.append((len(unique), np.cumsum([len(p) for p in parts]), where))
+        (pairs, pair_edges, pair_where), (words, word_edges, word_where) = places
         both = []
-        for column in ("target", "counts"):
-            joint = np.bincount(where, np.concatenate([np.frombuffer(x, np.int32) for x in pdf[column]]), len(unique))
-            both.append(joint.astype(np.int64)[where])
-        edges = np.cumsum([len(p) for p in parts])[:-1]
-        split = [np.split(b, edges) for b in both]
-        return pd.DataFrame({"batch": pdf["batch"], "fragment": pdf["fragment"], "target": [x.tobytes() for x in split[0]], "background": [x.tobytes() for x in split[1]]})
+        for column in ("target", "background"):
+            counts = [unplaned(x, np.int32) for x in pdf[column]]
+            sent = [np.split(c, [p, p + w]) for c, p, w in zip(counts, np.diff(pair_edges, prepend=0), np.diff(word_edges, prepend=0), strict=True)]
+            back = []
+            for k, (n, edges, where) in enumerate(((pairs, pair_edges, pair_where), (words, word_edges, word_where), (words, word_edges, word_where))):
+                total = np.bincount(where, np.concatenate([s[k] for s in sent]), n).astype(np.int64)
+                back.append(np.split(total[where], edges[:-1]))
+            both.append([planes(np.concatenate(x)) for x in zip(*back, strict=True)])
+        return pd.DataFrame({"batch": pdf["batch"], "fragment": pdf["fragment"], "distinct": words, "target": both[0], "background": both[1]})
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = unigrams.value
         for batch in batches:
             for row in batch.to_pylist():
-                lengths = np.frombuffer(row["lengths"], np.int64)
-                unique, where = np.unique(bigrams(np.frombuffer(row["tokens"], np.uint16), lengths), return_inverse=True)
-                order = np.argsort(spread(unique) % np.uint32(fragments), kind="stable")  # the order in which they were asked for
-                answers = sorted(row["answers"] or [], key=lambda a: a["fragment"])
+                asked = Asked.of(row)
+                lengths = asked.lengths
+                pairs, words_ = dealt(asked.pairs, fragments), dealt(asked.words, fragments)
+                answers = sorted(row["answers"], key=lambda a: a["fragment"])
+                size = sum(a["distinct"] for a in answers) + 1 if words is None else len(words) + 2  # with BEGIN, which is among the distinct ones
                 owner = np.repeat(np.arange(len(lengths)), lengths)
                 empty, mean = lengths == 0, []
-                for k, name in enumerate(("target", "background")):
-                    joint = np.empty(len(unique))
-                    joint[order] = np.concatenate([np.frombuffer(a[name], np.int64) for a in answers] or [np.empty(0, np.int64)])
-                    loss = losses(unique, joint, counts[k], counts[2 + k], size, rules.share)
-                    mean.append(np.bincount(owner, loss[where], len(lengths)) / np.maximum(lengths, 1))
+                for name, total in zip(("target", "background"), totals, strict=True):
+                    joint, single, history = np.empty(len(asked.pairs)), np.empty(len(asked.words)), np.empty(len(asked.words))
+                    for a, p, w in zip(answers, pairs, words_, strict=True):
+                        joint[p], single[w], history[w] = np.split(unplaned(a[name], np.int64), [len(p), len(p) + len(w)])
+                    mean.append(np.bincount(owner, asked.losses(joint, single, history, total, size, rules.share), len(lengths)) / np.maximum(lengths, 1))
                 ids = pa.array(np.frombuffer(row["ids"], np.int64), pa.int64(), mask=np.frombuffer(row["known"], np.uint8) == 0)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(lengths), *(pa.array(x, pa.float64(), mask=empty) for x in (mean[0], mean[1], mean[0] - mean[1]))], names=[id_col, "n_tokens", "target_loss", "background_loss", "score"])
 
-    asked = encoded.select("batch", "target", "lengths", "tokens").mapInArrow(ask, "fragment long, batch long, bigrams binary, target binary, counts binary")
-    answers = asked.groupBy("fragment").applyInPandas(answer, "batch long, fragment long, target binary, background binary")
-    gathered = answers.groupBy("batch").agg(F.collect_list(F.struct("fragment", "target", "background")).alias("answers"))  # bounded by a batch's tokens
-    rated = encoded.select("batch", "ids", "known", "lengths", "tokens").join(gathered, "batch", "left")
+    asked = encoded.select("batch", "target", "lengths", "words", "tokens").mapInArrow(ask, "fragment long, batch long, pairs binary, words binary, target binary, background binary")
+    answers = asked.groupBy("fragment").applyInPandas(answer, "batch long, fragment long, distinct long, target binary, background binary")
+    gathered = answers.groupBy("batch").agg(F.collect_list(F.struct("fragment", "distinct", "target", "background")).alias("answers"))  # bounded by a batch's tokens
+    rated = encoded.select("batch", "ids", "known", "lengths", "words", "tokens").join(gathered, "batch", "left")
     return rated.mapInArrow(rate, f"`{id_col}` long, n_tokens long, target_loss double, background_loss double, score double")

@@ -56,3 +56,14 @@ def test_odd_tables(spark, odd_docs, no_docs):
     assert len({round(r.score, 12) for r in rows if r.doc_id in (4, 5, None)}) == 1
     assert m.score(no_docs, labels).count() == 0
     assert all(r.score is not None for r in m.score(odd_docs, labels.where("false")).collect() if r.n_tokens)
+
+
+def test_every_word_counts(spark):
+    """Words beyond any 16-bit table: 70,000 different ones, most of them once, against the same counts with no bound."""
+    rows = [(k, " ".join(f"w{i}" for i in range(700 * k, 700 * k + 700)) + " w1 w1 w2") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 3) for k in range(0, 100, 2)], "doc_id long, quality int")
+    want = brute(rows, {k for k in range(0, 100, 2) if k % 3}, 10**9, 0.7)
+    for r in m.score(docs, labels, m.LmRules(batch_tokens=9000)).collect():
+        n, a, b = want[r.doc_id]
+        assert r.n_tokens == n and abs(r.target_loss - a) < 1e-9 and abs(r.background_loss - b) < 1e-9
