@@ -35,7 +35,7 @@ TEMPLATES = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Licensed under the Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "Proprietary": ("Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited.",),
+    "Proprietary": ("All rights reserved.", "Copyright. All rights reserved.", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited."),
 }
 CUE = "licen[cs]e|copyright|spdx|all rights reserved|redistribution"
 CUE_STEMS = ("licen", "copyright", "spdx", "all rights reserved", "redistribution")

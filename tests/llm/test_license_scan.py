@@ -53,3 +53,12 @@ def test_empty_and_native(files):
     assert s.scan(files.where("false")).count() == 0
     plan = s.matched(files)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rights_reserved_alone(spark):
+    """At any size: among files that lack the template's other words too."""
+    texts = ["All rights reserved.", "Copyright 2020 Foo. All rights reserved.", "Unauthorized copying of this file is strictly prohibited. All rights reserved.", "Copyright is discussed here."]
+    for n in (0, 5000):
+        files = spark.createDataFrame([(k, f"d{k}/x", t) for k, t in enumerate(texts)] + [(9, f"e{k}/x", "The licence of our driver.") for k in range(n)], "n int, path string, text string")
+        got = {r.n: r.own_licence for r in s.scan(files, keep=("n",)).collect()}
+        assert [got[k] for k in range(4)] == ["Proprietary"] * 3 + [None]
