@@ -1,12 +1,15 @@
 """Licence scan: sparse TF-IDF cosine of licence-bearing passages to templates, then inheritance from the nearest directory.
 
-The passages of a file that speak of a licence (its header, or all of a licence file) are compared with each template in the space
-of the templates' words; other words only lengthen the file's vector. A file without a licence of its own takes the one of the
+Every paragraph of a file that speaks of a licence, and every sentence or line in it that does, is compared by itself with each
+template in the space of the templates' words; other words only lengthen its vector, and word weights come from the templates alone,
+so the size of the corpus and other passages change nothing. A paragraph counts as a whole (a wrapped header, a licence's text) unless
+a sentence of it fits better; then its sentences count. Each counts for its best template. A file's licence is the most similar
+one found, a reservation of rights only if there is no other; own_licences lists all of them. A file without a licence of its own takes the one of the
 licence file in the nearest directory above it, by joins of its path's prefixes with the directories that have one. All of it
 is DataFrame operations.
 
 Defined results: null and empty texts have no licence of their own; a null path inherits nothing; repeated rows are judged
-alike; equal similarities go to the first template by name; if a directory has several licence files, the most similar one counts,
+alike; a paragraph ends at a blank line or one of comment marks only; equal similarities go to the first template by name; if a directory has several licence files, the most similar one counts,
 then the first licence by name; an empty table gives no rows. Extra columns pass, unless they are called like the ones made.
 """
 
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Notices by which licences are declared, under their SPDX names.
+RESERVED = "Proprietary"
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License."),
     "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
@@ -35,10 +39,58 @@ TEMPLATES = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Licensed under the Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "Proprietary": ("All rights reserved.", "Copyright. All rights reserved.", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited."),
+    RESERVED: ("All rights reserved.", "Copyright. All rights reserved.", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited."),
 }
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_SHORT_GNU = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {0}General Public License version {1} as published by the Free Software Foundation."
+#: The paragraphs of licence texts, and the headings and headers of those that run to pages.
+TEXTS = {
+    "Apache-2.0": (
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ),
+    "MIT": (
+        "The MIT License",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ),
+    "BSD-3-Clause": (
+        "BSD 3-Clause License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    ),
+    "GPL-3.0": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", _GNU.format("", 3), _SHORT_GNU.format("", 3)),
+    "GPL-2.0": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", _GNU.format("", 2), _SHORT_GNU.format("", 2)),
+    "LGPL-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", _GNU.format("Lesser ", 3), _SHORT_GNU.format("Lesser ", 3)),
+    "AGPL-3.0": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", _GNU.format("Affero ", 3), _SHORT_GNU.format("Affero ", 3)),
+    "MPL-2.0": (
+        "Mozilla Public License Version 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International Public License",),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International Public License",),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International Public License",),
+}
+
+
+def _with_texts() -> dict[str, tuple[str, ...]]:
+    """Notices, texts and SPDX identifiers of each licence."""
+    out = {}
+    for name, notices in TEMPLATES.items():
+        ends = () if name == RESERVED else ("", "-only", "-or-later") if "GPL" in name else ("",)
+        out[name] = (*notices, *TEXTS.get(name, ()), *(f"SPDX-License-Identifier: {name}{end}" for end in ends))
+    return out
+
+
+ALL_TEMPLATES = _with_texts()
 CUE = "licen[cs]e|copyright|spdx|all rights reserved|redistribution"
 CUE_STEMS = ("licen", "copyright", "spdx", "all rights reserved", "redistribution")
+PARAGRAPH = r"\n[ \t\r]*(?:[*#/;-]+[ \t\r]*)?(?=\n)"
 SENTENCE = r"\n|(?<=[.;])\s+(?=[A-Z])"
 
 
@@ -70,13 +122,67 @@ def passages(text: Column) -> Column:
     return F.when(speaks, F.array_join(parts, "\n"))
 
 
-def _total(tokens: str, weights: Column) -> Column:
+def _total(tokens: Column | str, weights: Column) -> Column:
     """The sum of the tokens' weights; tokens without one count nothing."""
     return F.aggregate(tokens, F.lit(0.0), lambda acc, w: acc + F.coalesce(F.element_at(weights, w), F.lit(0.0)))
 
 
+def _norm(tokens: Column, weight: Column) -> Column:
+    """The length of the tokens' vector; words without a weight have one of 1."""
+    return F.aggregate(
+        F.array_sort(tokens),
+        F.struct(F.lit(None).cast("string").alias("word"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total")),
+        lambda acc, w: F.when(acc["word"] == w, F.struct(w.alias("word"), (acc["run"] + 1.0).alias("run"), acc["total"].alias("total"))).otherwise(
+            F.struct(w.alias("word"), F.lit(1.0).alias("run"), (acc["total"] + F.pow(acc["run"] * F.coalesce(F.element_at(weight, acc["word"]), F.lit(1.0)), F.lit(2.0))).alias("total"))
+        ),
+        lambda acc: F.sqrt(acc["total"] + F.pow(acc["run"] * F.coalesce(F.element_at(weight, acc["word"]), F.lit(1.0)), F.lit(2.0))),
+    )
+
+
+def _best(tokens: Column, norm: Column, counts: list[tuple[str, Counter]], idf: dict[str, float]) -> Column:
+    """The most similar template's similarity and name."""
+    scores = []
+    for name, bag in counts:
+        vector = {w: c * idf[w] for w, c in bag.items()}
+        length = math.sqrt(sum(v * v for v in vector.values()))
+        parts = F.map_from_arrays(F.array(*map(F.lit, vector)), F.array(*[F.lit(v * idf[w] / length) for w, v in vector.items()]))
+        cosine = F.coalesce(_total(tokens, parts) / F.nullif(norm, F.lit(0.0)), F.lit(0.0))
+        scores.append(F.struct((-F.round(cosine, 9)).alias("s"), F.lit(name).alias("name")))
+    least = F.array_min(F.array(*scores))
+    return F.transform(F.array(least), lambda x: F.struct((-x["s"]).alias("similarity"), x["name"].alias("name")))[0]
+
+
+def judged(files: DataFrame, rules: LicenceRules = LicenceRules(), text_col: str = "text", templates: dict[str, tuple[str, ...]] = ALL_TEMPLATES) -> DataFrame:
+    """files with own_licence, own_licences, similarity and licence_share, every passage compared by itself."""
+    counts = [(name, template_words(t)) for name in sorted(templates) for t in templates[name]]
+    held = Counter(w for _, c in counts for w in c)
+    idf = {w: math.log((1 + len(counts)) / (1 + k)) + 1 for w, k in sorted(held.items())}
+    weight = F.map_from_arrays(F.array(*map(F.lit, idf)), F.array(*map(F.lit, idf.values())))
+    speaks = lambda p: p.rlike("(?i)" + CUE)
+    tokens = lambda p: stripped(words(p))
+
+    def rated(bags: Column) -> Column:
+        sized = F.transform(bags, lambda t: F.struct(t.alias("tokens"), _norm(t, weight).alias("norm")))
+        return F.transform(sized, lambda x: _best(x["tokens"], x["norm"], counts, idf))
+
+    found = files.withColumn("_tokens", stripped(words(passages(F.col(text_col)))))
+    some = F.size("_tokens") > 0
+    bags = F.transform(F.filter(F.split(text_col, PARAGRAPH), speaks), lambda p: F.struct(tokens(p).alias("whole"), F.transform(F.filter(F.split(p, SENTENCE), speaks), tokens).alias("parts")))
+    scored = found.withColumn("_bags", F.when(some, bags)).withColumn("_scores", F.transform("_bags", lambda b: F.struct(F.element_at(rated(F.array(b["whole"])), 1).alias("whole"), rated(b["parts"]).alias("parts"))))
+    winners = F.flatten(F.transform("_scores", lambda x: F.when(F.exists(x["parts"], lambda p: p["similarity"] > x["whole"]["similarity"]), x["parts"]).otherwise(F.array(x["whole"]))))
+    ranks = F.transform(F.filter(winners, lambda x: x["similarity"] >= rules.least_similarity), lambda x: F.struct((x["name"] == RESERVED).alias("reserved"), (-x["similarity"]).alias("s"), x["name"].alias("name")))
+    first = F.element_at(F.col("_ranks"), 1)
+    some_fit = F.size("_ranks") > 0
+    total = F.size(F.split(F.btrim(F.col(text_col)), r"\s+"))
+    own = [c for c in files.columns if c not in ("own_licence", "own_licences", "similarity", "licence_share")]
+    return scored.withColumn("_ranks", F.array_sort(ranks)).select(
+        *own, F.when(some_fit, first["name"]).alias("own_licence"), F.when(some_fit, F.array_join(F.array_distinct(F.transform("_ranks", lambda x: x["name"])), ",")).alias("own_licences"),
+        F.when(some_fit, -first["s"]).alias("similarity"), F.when(some, F.round(F.size("_tokens") / total, 6)).alias("licence_share"),
+    )
+
+
 def matched(files: DataFrame, rules: LicenceRules = LicenceRules(), text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """files with own_licence, similarity and licence_share. Only counts of the templates' words come to the driver."""
+    """files with own_licence, similarity and licence_share, from all passages of a file as one vector. Only counts of the templates' words come to the driver."""
     counts = [(name, template_words(t)) for name in sorted(templates) for t in templates[name]]
     vocabulary = sorted({w for _, c in counts for w in c})
     found = files.withColumn("_tokens", stripped(words(passages(F.col(text_col)))))
@@ -87,23 +193,8 @@ def matched(files: DataFrame, rules: LicenceRules = LicenceRules(), text_col: st
     n = df.pop("", 0)
     idf = {w: math.log((1 + n + len(counts)) / (1 + df.get(w, 0) + sum(w in c for _, c in counts))) + 1 for w in vocabulary}
     weight = F.map_from_arrays(F.array(*map(F.lit, vocabulary)), F.array(*[F.lit(idf[w]) for w in vocabulary]))
-    runs = F.aggregate(
-        F.array_sort("_tokens"),
-        F.struct(F.lit(None).cast("string").alias("word"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total")),
-        lambda acc, w: F.when(acc["word"] == w, F.struct(w.alias("word"), (acc["run"] + 1.0).alias("run"), acc["total"].alias("total"))).otherwise(
-            F.struct(w.alias("word"), F.lit(1.0).alias("run"), (acc["total"] + F.pow(acc["run"] * F.coalesce(F.element_at(weight, acc["word"]), F.lit(1.0)), F.lit(2.0))).alias("total"))
-        ),
-        lambda acc: F.sqrt(acc["total"] + F.pow(acc["run"] * F.coalesce(F.element_at(weight, acc["word"]), F.lit(1.0)), F.lit(2.0))),
-    )
-    scores = []
-    for name, bag in counts:
-        vector = {w: c * idf[w] for w, c in bag.items()}
-        norm = math.sqrt(sum(v * v for v in vector.values()))
-        parts = F.map_from_arrays(F.array(*map(F.lit, vector)), F.array(*[F.lit(v * idf[w] / norm) for w, v in vector.items()]))
-        dot = _total("_tokens", parts)
-        scores.append(F.struct(F.round(dot / F.nullif(F.col("_norm"), F.lit(0.0)), 9).alias("similarity"), F.lit(name).alias("name")))
-    ranked = F.array_sort(F.array(*scores), lambda a, b: F.when(a["similarity"] > b["similarity"], -1).when(a["similarity"] < b["similarity"], 1).when(a["name"] < b["name"], -1).otherwise(1))
-    scored = found.withColumn("_norm", F.when(F.size("_tokens") > 0, runs)).withColumn("_best", F.when(F.size("_tokens") > 0, F.element_at(ranked, 1)))
+    norm, best = _norm(F.col("_tokens"), weight), _best(F.col("_tokens"), F.col("_norm"), counts, idf)
+    scored = found.withColumn("_norm", F.when(F.size("_tokens") > 0, norm)).withColumn("_best", F.when(F.size("_tokens") > 0, best))
     fits = F.col("_best.similarity") >= rules.least_similarity
     total = F.size(F.split(F.btrim(F.col(text_col)), r"\s+"))
     own = [c for c in files.columns if c not in ("own_licence", "similarity", "licence_share")]
@@ -116,16 +207,16 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
 
 
-def scan(files: DataFrame, rules: LicenceRules = LicenceRules(), path_col: str = "path", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per file: keep columns, path, own_licence, similarity, licence_share, licence, inherited_from."""
-    judged = stored(matched(files.select(*keep, path_col, text_col), rules, text_col, templates).select(*keep, path_col, "own_licence", "similarity", "licence_share"), "licences")
+def scan(files: DataFrame, rules: LicenceRules = LicenceRules(), path_col: str = "path", text_col: str = "text", templates: dict[str, tuple[str, ...]] = ALL_TEMPLATES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per file: keep columns, path, own_licence, own_licences, similarity, licence_share, licence, inherited_from."""
+    found = stored(judged(files.select(*keep, path_col, text_col), rules, text_col, templates).select(*keep, path_col, "own_licence", "own_licences", "similarity", "licence_share"), "licences")
     by_name = F.regexp_extract(path_col, r"([^/]*)$", 1).rlike(r"(?i)^(licen[cs]e|copying|unlicense)([.-].*)?$")
-    declared = judged.where(F.col("own_licence").isNotNull() & F.col(path_col).isNotNull() & ((F.col("licence_share") >= rules.file_share) | by_name))
+    declared = found.where(F.col("own_licence").isNotNull() & F.col(path_col).isNotNull() & ((F.col("licence_share") >= rules.file_share) | by_name))
     best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("own_licence").alias("licence")))
     directories = declared.groupBy(F.element_at(ancestors(F.col(path_col)), 1).alias("_dir")).agg(best.alias("_best")).select("_dir", F.col("_best.licence").alias("_licence"))
-    places = judged.select(F.element_at(ancestors(F.col(path_col)), 1).alias("_home")).where("_home IS NOT NULL").distinct()
+    places = found.select(F.element_at(ancestors(F.col(path_col)), 1).alias("_home")).where("_home IS NOT NULL").distinct()
     steps = places.select("_home", F.posexplode(F.array_prepend(ancestors(F.col("_home")), F.col("_home"))).alias("_step", "_dir"))
     nearest = steps.join(directories, "_dir").groupBy("_home").agg(F.min(F.struct("_step", "_dir", "_licence")).alias("_near"))
-    joined = judged.withColumn("_home", F.element_at(ancestors(F.col(path_col)), 1)).join(nearest, "_home", "left")
+    joined = found.withColumn("_home", F.element_at(ancestors(F.col(path_col)), 1)).join(nearest, "_home", "left")
     inherits = F.col("own_licence").isNull()
-    return joined.select(*keep, path_col, "own_licence", "similarity", "licence_share", F.coalesce("own_licence", "_near._licence").alias("licence"), F.when(inherits, F.col("_near._dir")).alias("inherited_from"))
+    return joined.select(*keep, path_col, "own_licence", "own_licences", "similarity", "licence_share", F.coalesce("own_licence", "_near._licence").alias("licence"), F.when(inherits, F.col("_near._dir")).alias("inherited_from"))

@@ -62,3 +62,45 @@ def test_rights_reserved_alone(spark):
         files = spark.createDataFrame([(k, f"d{k}/x", t) for k, t in enumerate(texts)] + [(9, f"e{k}/x", "The licence of our driver.") for k in range(n)], "n int, path string, text string")
         got = {r.n: r.own_licence for r in s.scan(files, keep=("n",)).collect()}
         assert [got[k] for k in range(4)] == ["Proprietary"] * 3 + [None]
+
+
+GPL2 = """/*
+ * Frobnicate, a tool. Copyright (C) 2001 A. Body
+ *
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ */
+int main() {}"""
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 A. Body. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+
+
+def test_passages_by_themselves(spark):
+    chatter = "\n".join(f"Line {k} mentions the copyright of others, and more besides." for k in range(10))
+    texts = {
+        "MIT": "Released under the MIT License.\n" + chatter,
+        "GPL-2.0": GPL2, "MIT ": MIT_FILE, "Apache-2.0": "# SPDX-License-Identifier: Apache-2.0\nimport os", "GPL-3.0": "// SPDX-License-Identifier: GPL-3.0-or-later",
+        "MIT,CC-BY-4.0": "Released under the MIT License.\nSome words.\nLicensed under CC BY 4.0.", "": chatter, " ": "SPDX-License-Identifier: ISC",
+    }
+    files = spark.createDataFrame([(k, f"{i}/x", t) for i, (k, t) in enumerate(texts.items())], "want string, path string, text string")
+    rows = s.scan(files, keep=("want",)).collect()
+    for r in rows:
+        want = r.want.strip() or None
+        assert set((r.own_licences or "").split(",")) - {s.RESERVED} == set((want or "").split(",")), r
+        assert r.own_licence == (want and r.own_licences.split(",")[0]) and r.own_licence != s.RESERVED
+    assert len(rows) == len(texts)
+    plan = s.judged(files)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
