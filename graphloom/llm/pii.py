@@ -109,13 +109,24 @@ def card(shape: str, f: Feistel) -> str | None:
     return _refill(shape, body + luhn_digit(body))
 
 
+def _other_one(shape: str, rest: str, f: Feistel) -> str:
+    """+1 numbers that aren't North American ones, permuted among themselves: 10**10 less those of 8 x 8 digits in two places."""
+    x = int(rest)
+    while True:
+        x = f.permute(x, 10**10, b"phone+1")
+        made = f"{x:010d}"
+        if made[0] in "01" or made[3] in "01":
+            return _refill(shape, "1" + made)
+
+
 def phone(shape: str, f: Feistel) -> str | None:
-    """North American numbers keep +1; others keep the first two digits after the plus sign."""
+    """North American numbers keep +1; others, and +1 with an area code or exchange that can't be, keep the first two digits after the
+    plus sign and stay among those of their form."""
     d = _digits(shape)
     if len(d) == 11 and d[0] == "1" or len(d) == 10 and not shape.startswith("+"):
         lead, rest = d[:-10], d[-10:]
         if rest[0] in "01" or rest[3] in "01":
-            return None
+            return _other_one(shape, rest, f) if shape.startswith("+") else None
         size = 8 * 100 * 8 * 1_000_000
         x = ((int(rest[0]) - 2) * 100 + int(rest[1:3])) * 8 + int(rest[3]) - 2
         y = f.permute(x * 1_000_000 + int(rest[4:]), size, b"phone")

@@ -52,3 +52,13 @@ def test_odd_tables(odd_docs, no_docs):
     assert out.columns == [*odd_docs.columns, "pii_spans"] and pii.mask(no_docs).count() == 0
     old, new = (sorted(map(str, x.drop("pii_spans").collect())) for x in (odd_docs, out))
     assert old == new
+
+
+def test_plus_one_outside_the_plan():
+    """Numbers in explicit format are replaced whatever their area code or exchange, one to one, in their format."""
+    for text in ("+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (743) 155-3824"):
+        new = one(text)
+        assert new != text and new.startswith("+1 (") and [c for c in new if not c.isdigit()] == [c for c in text if not c.isdigit()]
+        assert new[4] in "01" or new[9] in "01"
+    assert len({one(f"+1 (017) 555-{k:04d}") for k in range(300)}) == 300
+    assert one("(017) 555-7713") == "(017) 555-7713"
