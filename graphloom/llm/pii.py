@@ -212,7 +212,8 @@ def email(shape: str, f: Feistel) -> str | None:
     return _letters(head, f, b"email") + dot + top
 
 
-#: Kinds in order of precedence, each with its pattern and its pseudonym. A match that doesn't validate is left to later kinds.
+#: Kinds in order of precedence, each with its pattern and its pseudonym. A match that doesn't validate, or runs into what is
+#: already taken, is tried again with shorter ends, and the search goes on one character after its start; the rest is left to later kinds.
 KINDS = {
     "email": (re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), email),
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), iban),
@@ -224,6 +225,33 @@ KINDS = {
 }
 SEPARATED = re.compile(r"[ .()-]")
 DIGIT = re.compile(r"[0-9]")
+#: Kinds of variable length, whose match may hold more than the value.
+SHORTER = ("iban", "card", "phone")
+
+
+def _found(kind: str, text: str, taken: list[tuple[int, int, str, str]], f: Feistel) -> Iterator[tuple[int, int, str, str]]:
+    """The valid values of a kind outside the taken spans, from the left, each as long as can be."""
+    pattern, make = KINDS[kind]
+    at = 0
+    while m := pattern.search(text, at):
+        a, b = m.span()
+        at = a + 1
+        if any(x <= a < y for x, y, _, _ in taken):
+            continue
+        stop = min((x for x, _, _, _ in taken if x > a), default=len(text))
+        ends = [b] if b <= stop else []
+        if kind in SHORTER:
+            ends += [e for e in range(min(b - 1, stop), a, -1) if e == stop or text[e] in " .-"]
+        for e in ends:
+            if e < b and not pattern.fullmatch(text, a, e):
+                continue
+            shape = text[a:e]
+            if kind == "phone" and not SEPARATED.search(shape) and not shape.startswith("+"):
+                continue
+            if (new := make(shape, f)) is not None:
+                yield a, e, kind, new
+                at = e
+                break
 
 
 def pseudonymise(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int]]]:
@@ -232,17 +260,9 @@ def pseudonymise(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int]]
     if not has_digit and not has_at:
         return text, []
     taken: list[tuple[int, int, str, str]] = []
-    for kind, (pattern, make) in KINDS.items():
-        if not (has_at if kind == "email" else has_digit):
-            continue
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if any(x < b and a < y for x, y, _, _ in taken):
-                continue
-            if kind == "phone" and not SEPARATED.search(m[0]) and not m[0].startswith("+"):
-                continue
-            if (new := make(m[0], f)) is not None:
-                taken.append((a, b, kind, new))
+    for kind in KINDS:
+        if has_at if kind == "email" else has_digit:
+            taken += list(_found(kind, text, taken, f))
     taken.sort()
     out, at = [], 0
     for a, b, _, new in taken:

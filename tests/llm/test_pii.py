@@ -62,3 +62,17 @@ def test_plus_one_outside_the_plan():
         assert new[4] in "01" or new[9] in "01"
     assert len({one(f"+1 (017) 555-{k:04d}") for k in range(300)}) == 300
     assert one("(017) 555-7713") == "(017) 555-7713"
+
+
+def test_values_beside_others():
+    for text, kinds in (
+        ("+1 (826) 555-4081 190.137.223.20", ["phone", "address"]),
+        ("4111 1111 1111 1111 123", ["card"]),
+        ("4111-1111-1111-1111 2020-02-29", ["card", "date"]),
+        ("DE89370400440532013000 BIC", ["iban"]),
+        ("AB12 DE89 3704 0044 0532 0130 00 X", ["iban"]),
+    ):
+        new, spans = pii.pseudonymise(text, F)
+        assert [k for k, _, _ in spans] == kinds, text
+        assert not any(text[a:b] in new for _, a, b in spans)
+    assert pii.pseudonymise("pay DE89370400440532013000 BIC", F)[0] == f"pay {one('DE89370400440532013000')} BIC"
