@@ -2,7 +2,8 @@
 
 A string of 16 or more token characters after a sensitive word is a candidate. Its novelty is the number of bytes by which
 it makes the compressed surroundings longer, with a dictionary of common identifiers and the surrounding text as history. Random
-strings cost about 6 bits a character and stay incompressible; identifiers, paths and repeated values cost little.
+strings, with or without digits, stay incompressible; long ones cost about the bits a character of their alphabet, 4 in hexadecimal
+and 6 in base 64, and are held against these. Identifiers, paths and repeated values cost little.
 
 Defined results: a null text counts as empty; an empty text has no spans; repeated rows are judged one by one; a null id
 stays null; extra columns of the input don't matter.
@@ -11,6 +12,7 @@ stays null; extra columns of the input don't matter.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +30,6 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api_?key|private_?key|credential|bearer|authorization|client_?id|signature|session_?id|aws_", re.I | re.A)
 CONTEXTS = ("pass", "secret", "token", "key", "credential", "bearer", "authorization", "client", "signature", "session", "aws_")
 #: Identifiers that code has around credentials without being one.
@@ -47,7 +48,7 @@ IDENTIFIERS = (
 class SecretRules:
     context_before: int = 48  #: characters before a candidate in which a sensitive word must stand
     surroundings: int = 256  #: characters on either side that prime the compressor
-    novel_share: float = 0.62  #: marginal compressed bytes a candidate must cost, as a share of its length
+    novel_share: float = 0.62  #: marginal compressed bytes a candidate must cost, as a share of its length; less for long ones of less than 62 characters' alphabets
     distinct: int = 8  #: different characters a candidate must have
     assign_length: int = 8
 
@@ -62,6 +63,19 @@ def marginal_bytes(before: str, candidate: str, after: str) -> int:
     return len(with_it.compress(candidate.encode())) - len(with_it.compress(b""))
 
 
+CODED_FROM = 64  #: zstandard leaves shorter runs of new characters as they are, at 8 bits each
+HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+CLASSES = tuple((re.compile(p), n) for p, n in (("[0-9]", 10), ("[a-z]", 26), ("[A-Z]", 26), ("[+/_=-]", 2)))
+
+
+def least_share(candidate: str, rules: SecretRules = SecretRules()) -> float:
+    """The share of its length that a candidate must cost, by the bits a character of its alphabet where zstandard codes by these."""
+    if len(candidate) < CODED_FROM:
+        return rules.novel_share
+    size = 16 if HEXADECIMAL.fullmatch(candidate) else sum(n for p, n in CLASSES if p.search(candidate))
+    return rules.novel_share * min(1.0, math.log2(size) / math.log2(62))
+
+
 def base_spans(text: str, rules: SecretRules = SecretRules()) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, by start and then kind."""
     low = text.lower()  # finds a keyword sooner than the pattern would
@@ -87,10 +101,10 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], rules: SecretRules
             if a > near:
                 break
             value = m[0]
-            if a in found or len(set(value)) < rules.distinct or not DIGIT.search(value) or any(x < b and a < y for x, _, y in taken):
+            if a in found or len(set(value)) < rules.distinct or any(x < b and a < y for x, _, y in taken):
                 continue
             cost = marginal_bytes(text[max(0, a - rules.surroundings) : a], value, text[b : b + rules.surroundings])
-            if cost >= rules.novel_share * len(value):
+            if cost >= least_share(value, rules) * len(value):
                 found[a] = (a, 3, b)
     return list(found.values())
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,3 +40,12 @@ def test_scan(spark, odd_docs, no_docs):
     row = s.scan(spark.createDataFrame([(None, text)], "doc_id long, text string")).first()
     assert row.doc_id is None and (row.n_assign, row.n_access, row.n_hex) == (1, 1, 0)
     assert row.spans == f"assign:2:26,access:28:{len(text)}"
+
+
+def test_any_alphabet():
+    draw = random.Random(7)
+    for letters, n in ((string.ascii_lowercase, 40), (string.ascii_letters, 40), (string.ascii_letters, 16), (string.ascii_uppercase + "234567", 32), ("0123456789ABCDEF", 256)):
+        for _ in range(20):
+            value = "".join(draw.choices(letters, k=n))
+            if len(set(value)) >= 8:
+                assert s.novel_spans(f"private_key: {value}", []) == [(13, 3, 13 + n)], value
