@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.state import settled
+
 
 def ranked_totals(df: DataFrame, key: str, value: str, total: str = "total", rank: str = "rank") -> DataFrame:
     """Sums by key without null keys, and each key's rank by descending sum, then key.
@@ -16,8 +18,9 @@ def ranked_totals(df: DataFrame, key: str, value: str, total: str = "total", ran
 
 def with_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
     """1-based positions under a total order, without a window over all rows: rows are ranged over partitions, numbered inside
-    each, and shifted by the sizes of the partitions before."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    each, and shifted by the sizes of the partitions before. Ranges are cut at sampled values, so the ranged rows are written once
+    with their partition; both readers see the same cuts."""
+    ranged = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     numbered = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))

@@ -71,6 +71,12 @@ def funding_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.with_rank(sums, [F.desc("total"), F.asc("applicant")])
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
+def order_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks that carry a column beyond the order."""
+    return tabular.with_rank(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")])
+
+
 @query(f"WITH {HOURLY} SELECT series, t, x FROM s")
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hours(spark, sf_dir)

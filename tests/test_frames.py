@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import arrays
 from graphloom.operators import graphs, learning, selection, series, tabular
-from graphloom.plans import experiments
+from graphloom.plans import experiments, joins
 from graphloom.queries import REPLY
 from graphloom.sources import observations, tables
 from graphloom.streaming import events as streams
@@ -191,3 +191,26 @@ def test_sets_and_samples(spark):
     samples = experiments.sample_table(spark, 3, 1.0, 2, 5, 2)
     assert samples.count() == 2 * 2 * 5 * 3 and samples.where("block = 1").agg(F.min("t")).first()[0] == 6
     assert sorted(map(tuple, samples.collect())) == sorted(map(tuple, samples.collect()))
+
+
+def test_ranks_with_further_columns(spark):
+    """300,000 rows over many ranges: each rank once, in the order, each row's other column with it."""
+    rows = spark.range(300_000).select((F.col("id") * 7919 % 300_007).alias("x"), F.col("id").alias("payload"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    for adaptive in ("false", "true"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        ranked = tabular.with_rank(rows, [F.desc("x")]).toPandas().sort_values("rank", ignore_index=True)
+        assert ranked["rank"].tolist() == list(range(1, 300_001))
+        assert ranked["x"].is_monotonic_decreasing and (ranked["payload"] * 7919 % 300_007 == ranked["x"]).all()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_spread_join(spark):
+    """Beyond the broadcast, hot keys are dealt out; all forms give what a plain join gives."""
+    rows = spark.range(900).select(F.when(F.col("id") < 500, 1).otherwise(F.col("id") % 40).alias("k"), F.col("id").alias("v"))
+    small = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = sorted(map(str, rows.join(small, "k", how).collect()))
+        for limits in ({}, {"broadcast_rows": 1, "hot_rows": 100}, {"broadcast_rows": 1}, {"broadcast_rows": 1, "hot_rows": 3}):
+            assert sorted(map(str, joins.spread_join(rows, small, "k", "v", how, **limits).collect())) == want
