@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.plans.state import shared_dir, ship_package  # noqa: F401
+
 #: What `[^\x20\x09-\x0D]+` leaves out, which is also where bytes.split() splits.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_to:
-        set_to = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", set_to)
-    return set_to.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -32,19 +23,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def release(*tables: DataFrame) -> None:
+    """Removes stored tables from which nothing is read any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def parallelism(spark: SparkSession) -> int:
