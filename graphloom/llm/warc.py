@@ -4,8 +4,9 @@ Every page becomes one gzip member that holds one record. Among records with equ
 one with the largest page id is the response, the others are revisits that carry its headers alone. The reader goes through an archive
 once: it inflates member by member in blocks of 64 KiB, cuts records by content length and checks block and payload digests.
 
-Writing tasks put each archive under a temporary name and rename it to one that depends on the partition alone, so a task that
-runs again replaces its own file. The archives lie in the shared folder; opening them goes through pyarrow's file systems.
+Every attempt of a writing task puts its archives under names of its own and renames them when they are whole. The manifest lists
+those of the attempts that count, so a second or speculative attempt can't replace what another one wrote. The archives lie in the
+shared folder; opening them goes through pyarrow's file systems.
 
 Defined results: a null payload is empty; a null url gives a record without target; rows that repeat the largest id of their
 payload are all responses; a page with a null id is always a response; an empty table gives no archive and no rows; columns of
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.plans.joins import spread_join
+
 from .common import fresh_path, ship_package, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,6 +43,7 @@ class WarcRules:
     revisit_bytes: int = 1000
     archive_bytes: int = 64 << 20  #: uncompressed bytes after which a task begins a new archive
     level: int = 6
+    broadcast_rows: int = 200_000  #: most repeated payloads (10 MB of digests) that are broadcast
     moment: str = "2000-01-01T00:00:00Z"  #: WARC-Date; pages carry none of their own
 
 
@@ -128,14 +132,15 @@ def write_archives(pages: DataFrame, folder: str, rules: WarcRules = WarcRules()
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
-        part, number, stream, written, count, temp = TaskContext.get().partitionId(), 0, None, 0, 0, ""
+        number, stream, written, count, temp = 0, None, 0, 0, ""
+        part = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         made = []
 
         def close() -> None:
             nonlocal stream, number, written, count
             if stream:
                 stream.close()
-                name = f"pages-{part:06d}-{number:04d}.warc.gz"
+                name = f"pages-{part}-{number:04d}.warc.gz"
                 system.move(temp, f"{base}/{name}")
                 made.append((f"{folder}/{name}", count))
                 stream, number, written, count = None, number + 1, 0, 0
@@ -187,9 +192,12 @@ def with_references(pages: DataFrame, rules: WarcRules = WarcRules()) -> DataFra
     """pages (page_id, url, html) with refers_to: the largest page_id of the payload, for the others of a large repeated payload."""
     digest = F.when(F.octet_length(F.encode(F.coalesce("html", F.lit("")), "utf-8")) >= rules.revisit_bytes, F.sha1(F.encode("html", "utf-8")))
     keyed = pages.select("page_id", "url", "html", digest.alias("_digest"))
-    repeated = keyed.where("_digest IS NOT NULL AND page_id IS NOT NULL").groupBy("_digest").agg(F.max("page_id").alias("_last"), F.min("page_id").alias("_first")).where("_last > _first").drop("_first")
+    repeated = keyed.where("_digest IS NOT NULL AND page_id IS NOT NULL").groupBy("_digest").agg(F.max("page_id").alias("_last"), F.min("page_id").alias("_first")).where("_last > _first").select("_digest", "_last")
+    repeated = stored(repeated, "repeated")
     other = F.when(F.col("page_id") < F.col("_last"), F.col("_last"))
-    return keyed.join(repeated, "_digest", "left").select("page_id", "url", "html", other.alias("refers_to"))
+    # small payloads get keys of their own, so that they don't meet under a null one
+    keyed = keyed.withColumn("_digest", F.coalesce("_digest", F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), "url", F.lit("")))))
+    return spread_join(keyed, repeated, "_digest", "page_id", "left", rules.broadcast_rows).select("page_id", "url", "html", other.alias("refers_to"))
 
 
 def round_trip(pages: DataFrame, rules: WarcRules = WarcRules()) -> DataFrame:

@@ -47,3 +47,15 @@ def test_archives_roll(spark):
     manifest = warc.write_archives(warc.with_references(pages(spark, rows), rules), fresh_path(spark, "warc"), rules)
     assert manifest.count() > 5
     assert sorted(r.page_id for r in warc.read_archives(manifest).collect()) == list(range(50))
+
+
+def test_hot_payloads(spark):
+    """A payload with a third of the rows, and as many small pages, beyond the broadcast: same records, no partition with all of them."""
+    big, small = "x" * 1500, "tiny"
+    rows = [(k, "http://a/", big if k % 3 == 0 else small if k % 3 == 1 else f"{k:06d}" * 300) for k in range(900)] + [(2000, None, "z" * 400_000), (2001, None, "z" * 400_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for rules in (warc.WarcRules(), warc.WarcRules(broadcast_rows=0)):
+        got = {r.page_id: r for r in warc.round_trip(pages, rules).collect()}
+        assert len(got) == 902
+        assert all(got[k].refers_to == (897 if k % 3 == 0 and k != 897 else None) for k in range(900))
+        assert (got[2000].record_type, got[2000].refers_to, got[2000].payload_bytes) == ("revisit", 2001, 400_000)
