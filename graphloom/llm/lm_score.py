@@ -2,7 +2,10 @@
 
 The target model counts the documents labelled as of good quality, the background model all documents; both share one vocabulary and
 one smoothing, so per-token loss differences compare like with like:
-    p(w | h) = share * c(h w) / c(h) + (1 - share) * (c(w) + 1) / (N + V)
+    p(w | h) = (c(h w) + prior * q(w)) / (c(h) + prior)    q(w) = (c(w) + 1) / (N + V)
+How far a model trusts its bigrams follows from its counts of the history, so the smaller model backs off by itself, to the whole of
+q where it has never seen the history, and p sums to one over the vocabulary (the words and one for unseen ones). A document's own
+tokens are left out of the counts that score it, in both models (in the target's where it is a target): it is judged by the others.
 score = mean over tokens of (target loss - background loss), in nats; lower is closer to the target.
 
 Every word counts as itself, as a 64-bit hash, at every size of the input: no table of words is broadcast or comes to the driver. A
@@ -38,8 +41,9 @@ UNKNOWN, BEGIN = b" ", b"\n"  #: no word has blanks
 @dataclass(frozen=True)
 class LmRules:
     vocabulary: int | None = None  #: most words; all of them where it is unset
-    share: float = 0.7  #: of the bigram in the interpolation
+    prior: float = 2.0  #: counts that the unigrams weigh beside a history's own
     batch_tokens: int = 1_000_000
+    batch_texts: int = 50_000
     broadcast_ids: int = 2_000_000  #: most target ids (16 MB) that are broadcast
 
 
@@ -113,7 +117,7 @@ def _encoded(docs: DataFrame, words: list[bytes] | None, targets: np.ndarray | N
                 tokens = word_array(found, hashes)
                 rows.append((doc, bool(target), tokens))
                 size += len(tokens)
-                if size >= rules.batch_tokens:
+                if size >= rules.batch_tokens or len(rows) >= rules.batch_texts:
                     yield packed()
                     number, rows, size = number + 1, [], 0
         if rows:
@@ -162,11 +166,19 @@ class Asked:
         found = (np.bincount(where, minlength=len(self.pairs)), np.bincount(self.tokens[chosen], minlength=n), np.bincount(self.before[where], minlength=n))
         return tuple(x.astype(np.int32) for x in found)
 
-    def losses(self, joint: np.ndarray, words: np.ndarray, histories: np.ndarray, total: int, size: int, share: float) -> np.ndarray:
-        """-log p(w | h) of every token in one model, from the model's counts of what was asked for."""
-        seen = histories[self.before]
-        pair = np.where(seen > 0, joint / np.maximum(seen, 1), 0.0)
-        return -np.log(share * pair + (1 - share) * (words[self.after] + 1) / (total + size))[self.where]
+    def own(self, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For every token, how often its document has its bigram, its word, and its history as one."""
+        counts = []
+        for of in (self.where, self.tokens, self.before[self.where]):
+            _, at, n = np.unique(owner << 32 | of, return_inverse=True, return_counts=True)
+            counts.append(n[at])
+        return tuple(counts)
+
+    def losses(self, joint: np.ndarray, words: np.ndarray, histories: np.ndarray, total: np.ndarray, size: int, prior: float, own: tuple[np.ndarray, ...]) -> np.ndarray:
+        """-log p(w | h) of every token in one model, from the model's counts of what was asked for, less the document's own; total
+        is the number of the other documents' tokens, for every token."""
+        joint, words, histories = joint[self.where] - own[0], words[self.tokens] - own[1], histories[self.before[self.where]] - own[2]
+        return -np.log((joint + prior * (words + 1) / (total + size)) / (histories + prior))
 
 
 def dealt(hashes: np.ndarray, fragments: int) -> list[np.ndarray]:
@@ -238,17 +250,18 @@ def score(docs: DataFrame, labels: DataFrame, rules: LmRules = LmRules(), id_col
                 answers = sorted(row["answers"], key=lambda a: a["fragment"])
                 size = sum(a["distinct"] for a in answers) + 1 if words is None else len(words) + 2  # with BEGIN, which is among the distinct ones
                 owner = np.repeat(np.arange(len(lengths)), lengths)
-                empty, mean = lengths == 0, []
-                for name, total in zip(("target", "background"), totals, strict=True):
+                empty, mean, own = lengths == 0, [], asked.own(owner)
+                among = np.repeat(np.frombuffer(row["target"], np.uint8), lengths) > 0
+                for name, total, left_out in zip(("target", "background"), totals, (among, np.ones(len(among), bool)), strict=True):
                     joint, single, history = np.empty(len(asked.pairs)), np.empty(len(asked.words)), np.empty(len(asked.words))
                     for a, p, w in zip(answers, pairs, words_, strict=True):
                         joint[p], single[w], history[w] = np.split(unplaned(a[name], np.int64), [len(p), len(p) + len(w)])
-                    mean.append(np.bincount(owner, asked.losses(joint, single, history, total, size, rules.share), len(lengths)) / np.maximum(lengths, 1))
+                    mean.append(np.bincount(owner, asked.losses(joint, single, history, total - lengths[owner] * left_out, size, rules.prior, tuple(n * left_out for n in own)), len(lengths)) / np.maximum(lengths, 1))
                 ids = pa.array(np.frombuffer(row["ids"], np.int64), pa.int64(), mask=np.frombuffer(row["known"], np.uint8) == 0)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(lengths), *(pa.array(x, pa.float64(), mask=empty) for x in (mean[0], mean[1], mean[0] - mean[1]))], names=[id_col, "n_tokens", "target_loss", "background_loss", "score"])
 
     asked = encoded.select("batch", "target", "lengths", "words", "tokens").mapInArrow(ask, "fragment long, batch long, pairs binary, words binary, target binary, background binary")
     answers = asked.groupBy("fragment").applyInPandas(answer, "batch long, fragment long, distinct long, target binary, background binary")
     gathered = answers.groupBy("batch").agg(F.collect_list(F.struct("fragment", "distinct", "target", "background")).alias("answers"))  # bounded by a batch's tokens
-    rated = encoded.select("batch", "ids", "known", "lengths", "words", "tokens").join(gathered, "batch", "left")
+    rated = encoded.select("batch", "ids", "known", "target", "lengths", "words", "tokens").join(gathered, "batch", "left")
     return rated.mapInArrow(rate, f"`{id_col}` long, n_tokens long, target_loss double, background_loss double, score double")
