@@ -1,7 +1,8 @@
 """Secrets in texts: three fixed patterns, and strings in a sensitive context that a dictionary-primed zstandard model can't predict.
 
 A string of 16 or more token characters after a sensitive word is a candidate. Its novelty is the number of bytes by which
-it makes the compressed surroundings longer, with a dictionary of common identifiers and the surrounding text as history. Random
+it makes the compressed surroundings longer, with a dictionary of identifiers (fixed ones and those that most texts of the corpus
+have near sensitive words) and the surrounding text as history. Random
 strings, with or without digits, stay incompressible; long ones cost about the bits a character of their alphabet, 4 in hexadecimal
 and 6 in base 64, and are held against these. Identifiers, paths and repeated values cost little.
 
@@ -14,12 +15,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship_package, texts_of
@@ -29,7 +33,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,14}(?![A-Za-z0-9_])", re.A)
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api_?key|private_?key|credential|bearer|authorization|client_?id|signature|session_?id|aws_", re.I | re.A)
 CONTEXTS = ("pass", "secret", "token", "key", "credential", "bearer", "authorization", "client", "signature", "session", "aws_")
 #: Identifiers that code has around credentials without being one.
@@ -51,14 +56,13 @@ class SecretRules:
     novel_share: float = 0.62  #: marginal compressed bytes a candidate must cost, as a share of its length; less for long ones of less than 62 characters' alphabets
     distinct: int = 8  #: different characters a candidate must have
     assign_length: int = 8
+    identifiers: int = 1000  #: identifiers of the corpus that prime the compressor, 15 characters each at most
+    least_texts: int = 20  #: texts that must have such an identifier
 
 
-_DICTIONARY = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-
-
-def marginal_bytes(before: str, candidate: str, after: str) -> int:
+def marginal_bytes(before: str, candidate: str, after: str, identifiers: str = IDENTIFIERS) -> int:
     """Compressed bytes that the candidate adds to its surroundings."""
-    primer = zstandard.ZstdCompressionDict((IDENTIFIERS + before + "\n" + after).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primer = zstandard.ZstdCompressionDict((identifiers + before + "\n" + after).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     with_it = zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False, write_checksum=False)
     return len(with_it.compress(candidate.encode())) - len(with_it.compress(b""))
 
@@ -88,25 +92,61 @@ def base_spans(text: str, rules: SecretRules = SecretRules()) -> list[tuple[int,
     return sorted(found)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]], rules: SecretRules = SecretRules()) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of further strings in a sensitive context that don't compress."""
-    found: dict[int, tuple[int, int, int]] = {}
+def sensitive_ends(text: str) -> list[int]:
+    """Where sensitive words end, in order."""
     low = text.lower()
-    if not any(k in low for k in CONTEXTS):
+    return [m.end() for m in SENSITIVE.finditer(text)] if any(k in low for k in CONTEXTS) else []
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, int]], rules: SecretRules = SecretRules(), identifiers: str = IDENTIFIERS) -> list[tuple[int, int, int]]:
+    """(start, 3, end) of further strings in a sensitive context that don't compress. taken: spans by start. Words, candidates and
+    taken spans are each gone through once."""
+    ends = sensitive_ends(text)
+    if not ends:
         return []
-    for word in SENSITIVE.finditer(text):
-        near = word.end() + rules.context_before
-        for m in CANDIDATE.finditer(text, word.end()):
-            a, b = m.span()
-            if a > near:
-                break
-            value = m[0]
-            if a in found or len(set(value)) < rules.distinct or any(x < b and a < y for x, _, y in taken):
-                continue
-            cost = marginal_bytes(text[max(0, a - rules.surroundings) : a], value, text[b : b + rules.surroundings])
-            if cost >= least_share(value, rules) * len(value):
-                found[a] = (a, 3, b)
-    return list(found.values())
+    found, reach, at = [], -1, 0  # the furthest end of the taken spans that begin before `at`
+    for m in CANDIDATE.finditer(text, ends[0]):
+        a, b = m.span()
+        last = bisect_right(ends, a)
+        while at < len(taken) and taken[at][0] < b:
+            reach, at = max(reach, taken[at][2]), at + 1
+        if not last or a - ends[last - 1] > rules.context_before or reach > a or len(set(m[0])) < rules.distinct:
+            continue
+        cost = marginal_bytes(text[max(0, a - rules.surroundings) : a], m[0], text[b : b + rules.surroundings], identifiers)
+        if cost >= least_share(m[0], rules) * len(m[0]):
+            found.append((a, 3, b))
+    return found
+
+
+def identifier_dictionary(docs: DataFrame, rules: SecretRules = SecretRules(), text_col: str = "text") -> str:
+    """The identifiers that most texts have near their sensitive words (ties: by name), the most frequent last, where zstandard
+    finds them cheapest, after the fixed ones. All texts are counted, combined in each task; only the chosen ones come to the driver."""
+    ship_package(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            seen.clear()
+            return made
+
+        for batch in batches:
+            for text in texts_of(batch.column(0)):
+                held: set[str] = set()
+                done = 0
+                for end in sensitive_ends(text):
+                    stop = end + rules.surroundings
+                    held.update(IDENTIFIER.findall(text, max(done, end - rules.surroundings), stop))
+                    done = stop
+                seen.update(held)
+                if len(seen) > 200_000:
+                    yield flush()
+        yield flush()
+
+    counts = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= rules.least_texts)
+    chosen = counts.orderBy(F.desc("n"), "word").limit(rules.identifiers).collect()
+    return " ".join([IDENTIFIERS, *(r["word"] for r in reversed(chosen))]) + " "
 
 
 def _written(spans: list[tuple[int, int, int]]) -> str:
@@ -115,7 +155,9 @@ def _written(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, rules: SecretRules = SecretRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts and spans of the fixed patterns, novel spans, and all spans by start."""
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
+    primer = spark.sparkContext.broadcast(identifier_dictionary(docs, rules, text_col))
     out = T.StructType(
         [T.StructField(id_col, docs.schema[id_col].dataType)]
         + [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]
@@ -127,7 +169,7 @@ def scan(docs: DataFrame, rules: SecretRules = SecretRules(), id_col: str = "doc
             rows = []
             for text in texts_of(batch.column(1)):
                 base = base_spans(text, rules)
-                novel = novel_spans(text, base, rules)
+                novel = novel_spans(text, base, rules, primer.value)
                 counts = [sum(k == i for _, k, _ in base) for i in range(3)] + [len(novel)]
                 rows.append((*counts, hashlib.sha256(_written(base).encode()).hexdigest(), _written(sorted(base + novel))))
             columns = list(zip(*rows, strict=True)) or [()] * 6

@@ -42,6 +42,41 @@ def test_scan(spark, odd_docs, no_docs):
     assert row.spans == f"assign:2:26,access:28:{len(text)}"
 
 
+def test_many_sensitive_words_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        began = time.perf_counter()
+        assert s.novel_spans("token " * n, []) == []
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0] + 0.5
+
+
+def test_spans_as_plain_search():
+    """Against every candidate and every sensitive word looked at by themselves."""
+    draw = random.Random(3)
+    parts = ["token", "secret_key", "bearer", " ", ": ", "=", "\n", "plainword", "Zq8LrT2vXw9KpB4nM7sDfG3h", "hT4kkP0aQ7eZr2Lw==", "AKIAQWERTYUIOP12", "x" * 30, "'"]
+    for _ in range(300):
+        text = "".join(draw.choices(parts, k=draw.randrange(1, 25)))
+        taken = s.base_spans(text)
+        ends = [m.end() for m in s.SENSITIVE.finditer(text)]
+        want = []
+        for m in s.CANDIDATE.finditer(text):
+            a, b = m.span()
+            if any(e <= a <= e + 48 for e in ends) and not any(x < b and a < y for x, _, y in taken) and len(set(m[0])) >= 8:
+                if s.marginal_bytes(text[max(0, a - 256) : a], m[0], text[b : b + 256]) >= s.least_share(m[0]) * len(m[0]):
+                    want.append((a, 3, b))
+        assert s.novel_spans(text, taken) == want, text
+
+
+def test_corpus_identifiers(spark):
+    rows = [(k, f"the token belongs to billing_shard and vault_entry{k}" if k % 2 else "billing_shard alone") for k in range(60)]
+    words = s.identifier_dictionary(spark.createDataFrame(rows, "doc_id long, text string")).split()
+    assert "billing_shard" in words and "belongs" in words and not any(w.startswith("vault_entry") for w in words)
+    assert s.identifier_dictionary(spark.createDataFrame([], "doc_id long, text string")).split() == s.IDENTIFIERS.split()
+
+
 def test_any_alphabet():
     draw = random.Random(7)
     for letters, n in ((string.ascii_lowercase, 40), (string.ascii_letters, 40), (string.ascii_letters, 16), (string.ascii_uppercase + "234567", 32), ("0123456789ABCDEF", 256)):
