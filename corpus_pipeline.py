@@ -13,7 +13,7 @@ from graphloom.llm.queries import VOCABULARY
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, model).where("kept").select(*docs.columns)
+    return quality.passing(docs, model)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
