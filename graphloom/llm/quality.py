@@ -1,8 +1,8 @@
 """Quality rules: hashed word and character n-gram logistic regression over labelled rows, calibrated, against a fixed threshold.
 
-Features of a text are the relative frequencies of its hashed word 1- and 2-grams and of its hashed byte 4-grams, so a text's
+Features of a text are the relative frequencies of its hashed word 1- and 2-grams and of its hashed character 4-grams, so a text's
 score is an average of weights and needs no per-text dictionary. The model is fitted on at most `train_rows` labelled documents
-(the labels with the smallest hashes of their ids), a share of which is held out to calibrate the probability (Platt).
+(of the documents with a label, those with the smallest hashes of their ids), a share of which is held out to calibrate the probability (Platt).
 
 Rules that need no model go first: fewer than 20 words, or more than 30 % of the words in repeated 8-word windows.
 
@@ -73,20 +73,23 @@ def repeated_words(hashed: np.ndarray) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
-def feature_ids(data: bytes, hashed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the word n-grams, and of the byte 4-grams behind them."""
+def feature_ids(text: str, hashed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the word n-grams, and of the character 4-grams behind them."""
     shift = np.uint64(64 - bits)
     words = np.concatenate([ngram_hashes(hashed, 1), ngram_hashes(hashed, 2)]) >> shift
-    b = np.frombuffer(data, np.uint8).astype(np.uint32)
-    if len(b) < 4:
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    if len(c) < 4:
         return words.astype(np.int64), np.empty(0, np.int64)
-    four = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)
-    chars = (four * np.uint32(MULTIPLIERS[2] & 0xFFFFFFFF)) >> np.uint32(32 - bits)
+    low = [np.uint32(m & 0xFFFFFFFF) for m in MULTIPLIERS[:4]]
+    four = c[:-3] * low[0]
+    for k in (1, 2, 3):
+        four += c[k : k - 3 or None] * low[k]
+    chars = (four ^ four >> np.uint32(15)) * low[0] >> np.uint32(32 - bits)
     return words.astype(np.int64), chars.astype(np.int64) + (1 << bits)
 
 
-def raw_score(model: QualityModel, data: bytes, hashed: np.ndarray, bits: int) -> float:
-    words, chars = feature_ids(data, hashed, bits)
+def raw_score(model: QualityModel, text: str, hashed: np.ndarray, bits: int) -> float:
+    words, chars = feature_ids(text, hashed, bits)
     return model.bias + sum(float(model.weights[x].mean()) for x in (words, chars) if len(x))
 
 
@@ -127,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules
     """The model of the labelled sample; what comes to the driver is bounded by train_rows rows of 2**(bits + 1) features."""
     ship_package(docs.sparkSession)
     usable = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.max("quality").alias("_quality"))
+    usable = usable.join(docs.select(id_col), id_col, "left_semi")  # labels without a document would use up the sample
     sample = usable.orderBy(F.xxhash64(id_col), id_col).limit(rules.train_rows)
     rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(id_col, text_col, "_quality")
 
@@ -136,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules
             ids, values = [], []
             for text in texts_of(batch.column(1)):
                 data = text.encode()
-                parts = [np.unique(x, return_counts=True) for x in feature_ids(data, word_array(data.split(), hashes), rules.bits)]
+                parts = [np.unique(x, return_counts=True) for x in feature_ids(text, word_array(data.split(), hashes), rules.bits)]
                 ids.append(np.concatenate([i for i, _ in parts]).astype(np.uint32).tobytes())
                 values.append(np.concatenate([n / max(1, n.sum()) for _, n in parts]).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], names=["id", "quality", "ids", "values"])
@@ -156,6 +160,31 @@ def train(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules
     return QualityModel(w, bias, slope, shift)
 
 
+def verdict(text: str, hashes: WordHashes, model: QualityModel | None, rules: QualityRules) -> tuple:
+    """The values of the columns that judge adds."""
+    words = text.encode().split()
+    hashed = word_array(words, hashes)
+    counts = base_counts(text, words, hashed)
+    failed = len(words) < rules.min_words or 100 * counts[3] > rules.max_repeat_percent * len(words)
+    p = model.probability(raw_score(model, text, hashed, rules.bits)) if model else None
+    return len(words), *counts, failed, p, not failed and (p is None or p >= rules.threshold)
+
+
+def passing(docs: DataFrame, model: QualityModel | None, rules: QualityRules = QualityRules(), text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with all columns as they are, whatever these are called."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, fitted = WordHashes(), shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([verdict(t, hashes, fitted, rules)[-1] for t in texts_of(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def judge(docs: DataFrame, model: QualityModel | None, rules: QualityRules = QualityRules(), text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability and kept; these names
     replace columns of docs that are called so."""
@@ -170,15 +199,7 @@ def judge(docs: DataFrame, model: QualityModel | None, rules: QualityRules = Qua
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, fitted = WordHashes(), shared.value
         for batch in batches:
-            rows = []
-            for text in texts_of(batch.column(at)):
-                data = text.encode()
-                words = data.split()
-                hashed = word_array(words, hashes)
-                counts = base_counts(text, words, hashed)
-                failed = len(words) < rules.min_words or 100 * counts[3] > rules.max_repeat_percent * len(words)
-                p = fitted.probability(raw_score(fitted, data, hashed, rules.bits)) if fitted else None
-                rows.append((len(words), *counts, failed, p, not failed and (p is None or p >= rules.threshold)))
+            rows = [verdict(text, hashes, fitted, rules) for text in texts_of(batch.column(at))]
             columns = list(zip(*rows, strict=True)) or [()] * 8
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=out.names)

@@ -45,3 +45,26 @@ def test_odd_tables(spark, odd_docs, no_docs):
     assert q.judge(odd_docs, model).count() == 11 and q.judge(no_docs, model).count() == 0
     assert q.train(odd_docs, labels.where("quality = 1")) is None and q.train(no_docs, labels) is None
     assert q.judge(odd_docs, model).columns.count("kept") == 1
+    kept = q.passing(odd_docs, model)
+    assert kept.columns == odd_docs.columns and kept.dtypes == odd_docs.dtypes and q.passing(no_docs, model).count() == 0
+    assert sorted(r.n_chars or 0 for r in kept.collect()) == sorted(r.n_chars or 0 for r in odd_docs.collect() if q.verdict(r.text or "", WordHashes(), model, q.QualityRules())[-1])
+
+
+def test_character_grams():
+    """Four letters make a gram in any script, wherever they stand."""
+    for text in ("abcd", "дом№", "日本語文", "\U0001f600abc"):
+        words, chars = q.feature_ids(text, word_array(text.encode().split(), WordHashes()), 15)
+        twice = q.feature_ids("x" + text, word_array([b"x"], WordHashes()), 15)[1]
+        assert len(chars) == 1 and len(twice) == 2 and twice[1] == chars[0]
+
+
+def test_score_from_plain_formula(spark):
+    """Probability by hand: averages of the weights of all grams, through the calibration."""
+    weights = __import__("numpy").random.default_rng(1).standard_normal(2 << 15)
+    model = q.QualityModel(weights, 0.25, 2.0, -0.5)
+    text = "the quick brown fox jumps over the lazy dog " * 3
+    words, chars = q.feature_ids(text, word_array(text.encode().split(), WordHashes()), 15)
+    raw = 0.25 + sum(weights[k] for k in words) / len(words) + sum(weights[k] for k in chars) / len(chars)
+    row = q.judge(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert len(words) == 27 + 26 and len(chars) == len(text) - 3
+    assert abs(row.probability - 1 / (1 + __import__("math").exp(-(2.0 * raw - 0.5)))) < 1e-9
