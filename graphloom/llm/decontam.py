@@ -5,7 +5,8 @@ passage by k = floor(m * error_rate) edits; cut into k + 1 pieces, one piece mus
 finds every place worth a look, and Myers' bit-parallel edit distance (its search form) verifies the windows around them.
 
 Items are a stated query set: they are measured first, and sets beyond `block_chars` characters are applied in blocks, each to
-all documents. Only an item block is broadcast.
+all documents. Only an item block comes to the driver and is broadcast; with several blocks each one's rows are written before the
+next block is read. A worker process keeps the automaton of the block it last used.
 
 Defined results: null and empty texts match nothing; items that are null or have no words match nothing; items too short for an
 edit must occur exactly, between word boundaries; repeated documents and repeated items each give their own rows; a null id
@@ -15,17 +16,19 @@ stays null.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship_package, texts_of
+from .common import ship_package, stored, texts_of
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -134,22 +137,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules(),
     kind = benchmark.schema["item_id"].dataType
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("item_id", kind), *(T.StructField(c, T.LongType()) for c in ("distance", "start", "end"))])
     read = docs.select(id_col, text_col)
-    return reduce(DataFrame.unionAll, [_scan(read, held, schema, rules) for held in item_blocks(benchmark, rules)])
-
-
-def item_blocks(benchmark: DataFrame, rules: LeakRules) -> list:
-    """The items as broadcasts of about block_chars characters at most, one at least."""
+    made = []
+    for held, last in item_blocks(benchmark, rules):
+        found = _scan(read, held, schema, rules)
+        if not last:
+            found = stored(found, "leaks")
+            held.unpersist()
+        made.append(found)
+    return reduce(DataFrame.unionAll, made)
+
+
+def item_blocks(benchmark: DataFrame, rules: LeakRules) -> Iterator[tuple[Broadcast, bool]]:
+    """The items as broadcasts of about block_chars characters at most, one at least, one after the other; and whether it is the last."""
     spark = benchmark.sparkSession
     items = benchmark.where("text IS NOT NULL").select("item_id", "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, -(-chars // rules.block_chars))
     parts = [items] if count == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) for k in range(count)]
-    return [spark.sparkContext.broadcast(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=str)) for part in parts]
+    for number, part in enumerate(parts, 1):
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(((r["item_id"], r["text"]) for r in part.collect()), key=str))), number == count
+
+
+_KEPT: dict[str, Items] = {}
+
+
+def _items(held: Broadcast, rules: LeakRules) -> Items:
+    name, items = held.value
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Items(items, rules)
+    return _KEPT[name]
 
 
 def _scan(docs: DataFrame, held, schema: T.StructType, rules: LeakRules) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(held.value, rules)
+        items = _items(held, rules)
         for batch in batches:
             rows = [(row, *hit) for row, text in enumerate(texts_of(batch.column(1))) for hit in items.found(text)]
             columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -162,12 +184,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules())
     """The documents that hold no item, judged by their own text; all columns stay."""
     ship_package(docs.sparkSession)
     at, out = docs.columns.index("text"), docs
-    for held in item_blocks(benchmark, rules):
+    for held, last in item_blocks(benchmark, rules):
 
         def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            items = Items(held.value, rules)
+            items = _items(held, rules)
             for batch in batches:
                 yield batch.filter(pa.array([not items.found(t) for t in texts_of(batch.column(at))], pa.bool_()))
 
         out = out.mapInArrow(work, docs.schema)
+        if not last:
+            out = stored(out, "cleaned")
+            held.unpersist()
     return out
