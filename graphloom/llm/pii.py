@@ -5,8 +5,11 @@ in the domain of their format and permuted by a keyed Feistel network with cycle
 addresses are permuted alike. Equal values get equal pseudonyms in every document, checks and separators hold again, and the key
 alone decides the mapping, so no table of values is kept or shuffled.
 
+The key is a secret of the deployment: set `spark.graphloom.pseudonyms.key`, or pass one. The built-in one is for tests.
+
 Defined results: a null text stays null and has no spans; an empty text stays empty; repeated rows are treated alike; other
-columns pass through unchanged, except that a column n_chars that held the text's length holds the new one.
+columns pass through unchanged, except that a column n_chars that held the text's length holds the new one, and that a column called
+like the one for spans is replaced by it.
 """
 
 from __future__ import annotations
@@ -14,11 +17,12 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .common import ship_package
@@ -28,7 +32,13 @@ ROUNDS = 8
 
 @dataclass(frozen=True)
 class PiiKey:
-    key: bytes = b"graphloom pseudonyms"  #: secret of the deployment; pass another one in production
+    key: bytes = b"graphloom pseudonyms"
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> PiiKey:
+        """The key that the session's settings give, or the built-in one."""
+        given = spark.conf.get("spark.graphloom.pseudonyms.key", None)
+        return cls(given.encode()) if given else cls()
 
 
 class Feistel:
@@ -41,8 +51,13 @@ class Feistel:
         self.known: dict[tuple[int, int, bytes], int] = {}
 
     def _round(self, r: int, half: int, bits: int, tweak: bytes) -> int:
+        """As many bits as the half has: the first 256 from one hash, further ones from hashes with a counter."""
         data = b"%d:%d:%d:" % (r, bits, half) + tweak
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=32).digest(), "big") & ((1 << bits) - 1)
+        made = int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=32).digest(), "big")
+        for block in range(1, -(-bits // 256)):
+            more = hashlib.blake2b(b"%d;" % block + data, key=self.key, digest_size=32).digest()
+            made = made << 256 | int.from_bytes(more, "big")
+        return made & ((1 << bits) - 1)
 
     def permute(self, value: int, size: int, tweak: bytes) -> int:
         if size < 2:
@@ -232,13 +247,17 @@ SHORTER = ("iban", "card", "phone")
 def _found(kind: str, text: str, taken: list[tuple[int, int, str, str]], f: Feistel) -> Iterator[tuple[int, int, str, str]]:
     """The valid values of a kind outside the taken spans, from the left, each as long as can be."""
     pattern, make = KINDS[kind]
+    spans = sorted((x, y) for x, y, _, _ in taken)  # apart from each other
+    begins = [x for x, _ in spans]
     at = 0
     while m := pattern.search(text, at):
         a, b = m.span()
         at = a + 1
-        if any(x <= a < y for x, y, _, _ in taken):
+        after = bisect_right(begins, a)
+        if after and a < spans[after - 1][1]:
+            at = spans[after - 1][1]
             continue
-        stop = min((x for x, _, _, _ in taken if x > a), default=len(text))
+        stop = begins[after] if after < len(begins) else len(text)
         ends = [b] if b <= stop else []
         if kind in SHORTER:
             ends += [e for e in range(min(b - 1, stop), a, -1) if e == stop or text[e] in " .-"]
@@ -271,9 +290,11 @@ def pseudonymise(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int]]
     return "".join([*out, text[at:]]), [(kind, a, b) for a, b, kind, _ in taken]
 
 
-def mask(docs: DataFrame, key: PiiKey = PiiKey(), text_col: str = "text", spans_col: str | None = "pii_spans") -> DataFrame:
+def mask(docs: DataFrame, key: PiiKey | None = None, text_col: str = "text", spans_col: str | None = "pii_spans") -> DataFrame:
     """docs with pseudonyms in the text; spans_col gets kind:start:end of the old text, comma-joined."""
     ship_package(docs.sparkSession)
+    key = key or PiiKey.of(docs.sparkSession)
+    docs = docs.select(*[c for c in docs.columns if c != spans_col])
     fields = list(docs.schema.fields) + ([T.StructField(spans_col, T.StringType())] if spans_col else [])
     at = docs.columns.index(text_col)
     length_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None

@@ -76,3 +76,87 @@ def test_values_beside_others():
         assert [k for k, _, _ in spans] == kinds, text
         assert not any(text[a:b] in new for _, a, b in spans)
     assert pii.pseudonymise("pay DE89370400440532013000 BIC", F)[0] == f"pay {one('DE89370400440532013000')} BIC"
+
+
+def test_wide_values_are_mixed_whole():
+    """Beyond 512 bits, too, every part of a value decides every part of its pseudonym, and the permutation inverts."""
+    for bits in (300, 513, 700, 2000):
+        size, value = (1 << bits) - 7, (1 << bits) // 3
+        y = F.permute(value, size, b"w")
+        assert F.invert(y, size, b"w") == value
+        other = F.permute(value ^ 1, size, b"w")
+        assert 0.35 * bits < (y ^ other).bit_count() < 0.65 * bits and 0.35 * bits < (y ^ value).bit_count() < 0.65 * bits
+    local = "".join("abcdefghijklmnopqrstuvwxyz"[k * k % 26] for k in range(220))
+    new = one(f"{local}@example.org")
+    assert max(len(run) for run in "".join(a if a == b else " " for a, b in zip(local, new, strict=False)).split()) < 8
+
+
+def slow(text):
+    """The definition without short cuts: kinds by precedence, places from the left, ends from the longest, outside of what is taken."""
+    taken = []
+    for kind, (pattern, make) in pii.KINDS.items():
+        a = 0
+        while a < len(text):
+            m = pattern.match(text, a)
+            hit = None
+            if m and not any(x <= a < y for x, y, _ in taken):
+                ends = [m.end(), *range(m.end() - 1, a, -1)] if kind in pii.SHORTER else [m.end()]
+                for e in ends:
+                    if any(a < x < e for x, _, _ in taken):
+                        continue
+                    cut = e == m.end() or text[e] in " .-" or any(x == e for x, _, _ in taken)
+                    if not cut or (e < m.end() and not pattern.fullmatch(text, a, e)):
+                        continue
+                    shape = text[a:e]
+                    if kind == "phone" and not pii.SEPARATED.search(shape) and not shape.startswith("+"):
+                        continue
+                    if (new := make(shape, F)) is not None:
+                        hit = (a, e, new)
+                        break
+            if hit:
+                taken.append(hit)
+                a = hit[1]
+            else:
+                a += 1
+    out, at = "", 0
+    for a, b, new in sorted(taken):
+        out, at = out + text[at:a] + new, b
+    return out + text[at:]
+
+
+def test_query_as_brute_force(spark):
+    """The whole query, on the whole table, against the definition."""
+    from graphloom.llm.queries import op7_pseudonyms
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    key = pii.Feistel(pii.PiiKey().key)
+    got = {r.doc_id: r.text for r in op7_pseudonyms(spark, "/root/testdata/sf0.001").collect()}
+    global F
+    kept, F = F, key
+    try:
+        assert len(got) == len(rows) and all(got[r.doc_id] == (slow(r.text) if r.text else r.text) for r in rows)
+        assert any(got[r.doc_id] != r.text for r in rows)
+    finally:
+        F = kept
+
+
+def test_many_values_take_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 16_000):
+        text = " ".join(f"2{k % 1000:03d}-0{k % 9 + 1}-1{k % 9}" for k in range(n))
+        began = time.perf_counter()
+        pii.pseudonymise(text, F)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 0.5
+
+
+def test_clashing_column_and_key(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@c.org", "old")], "doc_id long, text string, pii_spans string")
+    out = pii.mask(docs)
+    row = out.first()
+    assert out.columns == ["doc_id", "text", "pii_spans"] and row.pii_spans == "email:5:14"
+    spark.conf.set("spark.graphloom.pseudonyms.key", "another")
+    assert pii.mask(docs).first().text != row.text
+    spark.conf.unset("spark.graphloom.pseudonyms.key")
