@@ -71,3 +71,14 @@ def test_odd_tables(odd_docs, no_docs):
     assert check(rows, 4096) >= 5 and sum(r.doc_id is None for r in rows) == 1 and sum(r.doc_id == 4 for r in rows) == 2
     assert {r.length for r in rows if r.doc_id in (1, 2, 6)} == {1}
     assert p.pack(no_docs, p.PackingRules(PATH)).count() == 0
+
+
+def test_repeated_rows_are_dealt_out(spark):
+    """Groups are bounded by pieces, and copies of one row spread over them."""
+    docs = spark.createDataFrame([(1, "a b c")] * 3000, "doc_id long, text string").repartition(3)
+    rows = p.pack(docs, p.PackingRules(PATH, group_pieces=500)).collect()
+    assert len(rows) == 3000
+    groups = defaultdict(int)
+    for r in rows:
+        groups[r.sequence_id & 0xFFFFFF] += 1
+    assert len(groups) == 6 and max(groups.values()) < 700
