@@ -5,8 +5,8 @@ template in the space of the templates' words; other words only lengthen its vec
 so the size of the corpus and other passages change nothing. A paragraph counts as a whole (a wrapped header, a licence's text) unless
 a sentence of it fits better; then its sentences count. Each counts for its best template. A file's licence is the most similar
 one found, a reservation of rights only if there is no other; own_licences lists all of them. A file without a licence of its own takes the one of the
-licence file in the nearest directory above it, by joins of its path's prefixes with the directories that have one. All of it
-is DataFrame operations.
+licence file in the nearest directory above it, by joins of its path's prefixes with the directories that have one; a directory with
+many files is dealt to several tasks. All of it is DataFrame operations.
 
 Defined results: null and empty texts have no licence of their own; a null path inherits nothing; repeated rows are judged
 alike; a paragraph ends at a blank line or one of comment marks only; equal similarities go to the first template by name; if a directory has several licence files, the most similar one counts,
@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.joins import spread_join
+
 from .common import stored
 
 #: Notices by which licences are declared, under their SPDX names.
@@ -217,6 +219,8 @@ def scan(files: DataFrame, rules: LicenceRules = LicenceRules(), path_col: str =
     places = found.select(F.element_at(ancestors(F.col(path_col)), 1).alias("_home")).where("_home IS NOT NULL").distinct()
     steps = places.select("_home", F.posexplode(F.array_prepend(ancestors(F.col("_home")), F.col("_home"))).alias("_step", "_dir"))
     nearest = steps.join(directories, "_dir").groupBy("_home").agg(F.min(F.struct("_step", "_dir", "_licence")).alias("_near"))
-    joined = found.withColumn("_home", F.element_at(ancestors(F.col(path_col)), 1)).join(nearest, "_home", "left")
+    # files without a path inherit nothing, and get keys of their own so that they don't meet under a null one
+    homes = found.withColumn("_home", F.coalesce(F.element_at(ancestors(F.col(path_col)), 1), F.concat(F.lit("\n"), F.xxhash64("*").cast("string"))))
+    joined = spread_join(homes, stored(nearest, "nearest"), "_home", path_col, "left")
     inherits = F.col("own_licence").isNull()
     return joined.select(*keep, path_col, "own_licence", "own_licences", "similarity", "licence_share", F.coalesce("own_licence", "_near._licence").alias("licence"), F.when(inherits, F.col("_near._dir")).alias("inherited_from"))
