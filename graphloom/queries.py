@@ -151,38 +151,48 @@ def cov_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.covariance(hours(spark, sf_dir)).select("i", "j", six("cov").alias("cov"))
 
 
+def whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The hourly series, made once, and their number of hours (1 without events)."""
+    samples = settled(hours(spark, sf_dir))
+    return samples, samples.agg(F.max("t")).first()[0] or 1
+
+
 @query(f"""
-WITH {HOURLY}, f AS (SELECT unnest(generate_series(0, 63)) AS freq)
-SELECT series, CAST(freq AS INTEGER) AS freq, round(sum(x * cos(2 * pi() / 64 * ((freq * (t - 1)) % 64))), 6) + 0.0 AS re, round(sum(-x * sin(2 * pi() / 64 * ((freq * (t - 1)) % 64))), 6) + 0.0 AS im
-FROM s, f WHERE t <= 64 GROUP BY 1, 2
+WITH {HOURLY}, l AS (SELECT max(t) AS n FROM s), f AS (SELECT n, unnest(generate_series(0, n - 1)) AS freq FROM l)
+SELECT series, CAST(freq AS INTEGER) AS freq, round(sum(x * cos(2 * pi() / n * ((freq * (t - 1)) % n))), 6) + 0.0 AS re, round(sum(-x * sin(2 * pi() / n * ((freq * (t - 1)) % n))), 6) + 0.0 AS im
+FROM s, f GROUP BY 1, 2
 """)
 def dft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.fourier(hours(spark, sf_dir), 64).select("series", "freq", six("re").alias("re"), six("im").alias("im"))
+    samples, length = whole(spark, sf_dir)
+    return series.fourier(samples, length).select("series", "freq", six("re").alias("re"), six("im").alias("im"))
 
 
 SPECTRUM = f"""
-{HOURLY}, fr AS (SELECT unnest(generate_series(0, 63)) AS freq),
-co AS (SELECT series, freq, sum(x * cos(2 * pi() / 64 * ((freq * (t - 1)) % 64))) AS re, sum(-x * sin(2 * pi() / 64 * ((freq * (t - 1)) % 64))) AS im FROM s, fr WHERE t <= 32 GROUP BY 1, 2),
-pg AS (SELECT a.freq, a.series AS i, b.series AS j, (a.re * b.re + a.im * b.im) / 32 AS re, (a.re * b.im - a.im * b.re) / 32 AS im FROM co a JOIN co b USING (freq))
+{HOURLY}, l AS (SELECT max(t) AS n FROM s), fr AS (SELECT n, unnest(generate_series(0, 2 * n - 1)) AS freq FROM l),
+co AS (SELECT series, freq, n, sum(x * cos(pi() / n * ((freq * (t - 1)) % (2 * n)))) AS re, sum(-x * sin(pi() / n * ((freq * (t - 1)) % (2 * n)))) AS im FROM s, fr GROUP BY 1, 2, 3),
+pg AS (SELECT a.freq, a.n, a.series AS i, b.series AS j, (a.re * b.re + a.im * b.im) / a.n AS re, (a.re * b.im - a.im * b.re) / a.n AS im FROM co a JOIN co b USING (freq))
 """
 
 
-def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.cross_periodogram(series.fourier(hours(spark, sf_dir).where("t <= 32"), 64), 32)
+def spectrum(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The periodogram of all hours, zero-padded to twice their number, and its number of frequencies."""
+    samples, length = whole(spark, sf_dir)
+    return series.cross_periodogram(series.fourier(samples, 2 * length), length), 2 * length
 
 
 @query(f"WITH {SPECTRUM} SELECT CAST(freq AS INTEGER) AS freq, i, j, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM pg")
 def periodogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectrum(spark, sf_dir).select("freq", "i", "j", six("re").alias("re"), six("im").alias("im"))
+    return spectrum(spark, sf_dir)[0].select("freq", "i", "j", six("re").alias("re"), six("im").alias("im"))
 
 
 @query(f"""
 WITH {SPECTRUM}, w AS (SELECT * FROM (VALUES (-2, 1.0), (-1, 2.0), (0, 3.0), (1, 2.0), (2, 1.0)) v(k, h))
-SELECT CAST((freq + k + 64) % 64 AS INTEGER) AS freq, i, j, round(sum(h / 9 * re), 6) + 0.0 AS re, round(sum(h / 9 * im), 6) + 0.0 AS im
-FROM pg, w WHERE ((freq + k + 64) % 64) % 8 = 0 GROUP BY 1, 2, 3
+SELECT CAST((freq + k + 2 * n) % (2 * n) AS INTEGER) AS freq, i, j, round(sum(h / 9 * re), 6) + 0.0 AS re, round(sum(h / 9 * im), 6) + 0.0 AS im
+FROM pg, w WHERE ((freq + k + 2 * n) % (2 * n)) % 8 = 0 GROUP BY 1, 2, 3
 """)
 def smoothed_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.smoothed_spectrum(spectrum(spark, sf_dir), [1.0, 2.0, 3.0, 2.0, 1.0], 64, 8).select("freq", "i", "j", six("re").alias("re"), six("im").alias("im"))
+    pairs, frequencies = spectrum(spark, sf_dir)
+    return series.smoothed_spectrum(pairs, [1.0, 2.0, 3.0, 2.0, 1.0], frequencies, 8).select("freq", "i", "j", six("re").alias("re"), six("im").alias("im"))
 
 
 @query(f"WITH {HOURLY} SELECT a.series, a.t, 2.0 * a.x + 0.5 * b.x + 0.25 * c.x AS x FROM s a JOIN s b ON b.series = a.series AND b.t = a.t - 1 JOIN s c ON c.series = a.series AND c.t = a.t - 2")
@@ -270,9 +280,9 @@ def significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.significance(points, control).select("card", six("gain").alias("gain"), six("ratio").alias("ratio"))
 
 
-@query("SELECT array_to_string([a.k, b.k], ',') AS members, 2 AS card FROM (SELECT DISTINCT n_nationkey AS k FROM nation WHERE n_nationkey < 12) a, (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 12) b WHERE a.k < b.k UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 1 FROM nation WHERE n_nationkey < 12 UNION ALL SELECT array_to_string([a.n_nationkey, b.n_nationkey, c.n_nationkey], ','), 3 FROM nation a, nation b, nation c WHERE a.n_nationkey < b.n_nationkey AND b.n_nationkey < c.n_nationkey AND c.n_nationkey < 12")
+@query("SELECT array_to_string([a.k, b.k], ',') AS members, 2 AS card FROM (SELECT DISTINCT n_nationkey AS k FROM nation) a, (SELECT n_nationkey AS k FROM nation) b WHERE a.k < b.k UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 1 FROM nation UNION ALL SELECT array_to_string([a.n_nationkey, b.n_nationkey, c.n_nationkey], ','), 3 FROM nation a, nation b, nation c WHERE a.n_nationkey < b.n_nationkey AND b.n_nationkey < c.n_nationkey")
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = selection.candidates(read(spark, sf_dir, "nation").where("n_nationkey < 12"), "n_nationkey", 3)
+    sets = selection.candidates(read(spark, sf_dir, "nation"), "n_nationkey", 3)
     return sets.select(F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "card")
 
 
@@ -427,10 +437,13 @@ def image_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.image_graph(image(spark)).select("src", "dst", six("w").alias("w"))
 
 
-@query("WITH e AS (SELECT p_partkey % 12 AS r, (p_partkey // 12) % 12 AS c, p_size AS val FROM part WHERE p_partkey < 144) SELECT CAST(r // 5 AS INTEGER) AS row, CAST(c // 5 AS INTEGER) AS col, val FROM e WHERE r % 5 = 0 AND c % 5 = 0 AND r < (SELECT max(r) FROM e) AND c < (SELECT max(c) FROM e)")
+@query("WITH l AS (SELECT CAST(ceil(sqrt(max(p_partkey) + 1)) AS BIGINT) AS w FROM part), e AS (SELECT p_partkey // w AS r, p_partkey % w AS c, p_size AS val FROM part, l) SELECT CAST(r // 5 AS INTEGER) AS row, CAST(c // 5 AS INTEGER) AS col, val FROM e WHERE r % 5 = 0 AND c % 5 = 0 AND r < (SELECT max(r) FROM e) AND c < (SELECT max(c) FROM e)")
 def pixel_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part").where("p_partkey < 144").select((F.col("p_partkey") % 12).alias("row"), (F.floor(F.col("p_partkey") / 12) % 12).alias("col"), F.col("p_size").alias("val"))
-    return tables.pixels(part)
+    """All parts as one square image, row by row in the order of their keys."""
+    part = read(spark, sf_dir, "part")
+    width = part.agg(F.ceil(F.sqrt(F.max("p_partkey") + 1)).alias("w"))  # one row
+    laid = part.join(F.broadcast(width)).select(F.floor(F.col("p_partkey") / F.col("w")).alias("row"), (F.col("p_partkey") % F.col("w")).alias("col"), F.col("p_size").alias("val"))
+    return tables.pixels(laid)
 
 
 @query("""
