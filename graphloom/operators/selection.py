@@ -1,10 +1,15 @@
 """Sparse neighbourhood selection from blockwise samples.
 
 Samples (block, t, node, x) are reduced once to Gram blocks, the sufficient statistics (block, i, j, g); every candidate
-neighbourhood is then scored from at most ten numbers a block, by column expressions."""
+neighbourhood of up to three is then scored from at most ten numbers a block, by column expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations, islice
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,18 +58,17 @@ def candidates(nodes: DataFrame, node: str, size: int) -> DataFrame:
 
 
 def residuals(grams: DataFrame, node: object, size: int = 2, candidate_sets: DataFrame | None = None) -> DataFrame:
-    """(block, members, card, z): the node's energy in a block that a candidate set leaves unexplained, G_ii - g' G_TT^-1 g, for sets of
-    at most three nodes. A set whose Gram matrix is singular in a block explains nothing there.
+    """(block, members, card, z): the node's energy in a block that a candidate set leaves unexplained, G_ii - g' G_TT^-1 g. A set whose Gram
+    matrix is singular in a block explains nothing there.
 
-    Pairs of regressors are made inside their block, by equi-joins; candidates times blocks is the result's own size."""
-    if size > 3:
-        raise ValueError("sets of more than three nodes go through graphloom.kernels.regression")
+    Sets of up to three are made inside their block, by equi-joins, and scored by column expressions; larger ones by NumPy in batches.
+    Candidates times blocks is the result's own size."""
     own = grams.where((F.col("i") == F.lit(node)) & (F.col("j") == F.lit(node))).select("block", F.col("g").alias("own"))
     row = grams.where((F.col("i") == F.lit(node)) & (F.col("j") != F.lit(node))).select("block", "j", "g").join(own, "block")
     diagonal = grams.where("i = j").select("block", F.col("j").alias("j"), F.col("g").alias("d"))
     one = row.join(diagonal, ["block", "j"])
     out = None
-    for card in range(1, size + 1):
+    for card in range(1, min(size, 3) + 1):
         part = one.select("block", "own", F.col("j").alias("n0"), F.col("g").alias("g0"), F.col("d").alias("m00"))
         for a in range(1, card):
             later = one.select("block", F.col("j").alias(f"n{a}"), F.col("g").alias(f"g{a}"), F.col("d").alias(f"m{a}{a}"))
@@ -78,9 +82,46 @@ def residuals(grams: DataFrame, node: object, size: int = 2, candidate_sets: Dat
         if candidate_sets is not None:
             part = part.join(candidate_sets.select("members"), "members", "left_semi")
         out = part if out is None else out.unionByName(part)
+    if size > 3:
+        large = _large_residuals(grams, node, size)
+        out = out.unionByName(large if candidate_sets is None else large.join(candidate_sets.select("members"), "members", "left_semi"))
     return out
 
 
+def _large_residuals(grams: DataFrame, node: object, size: int, batch: int = 20_000) -> DataFrame:
+    """residuals() of sets of 4 ... size nodes. A row holds a block's matrix and one first member, and its task makes the sets that
+    begin there, `batch` at a time; the matrix is the model's size and is copied once per node."""
+    kinds = {f.name: f.dataType.simpleString() for f in grams.schema}
+    entries = grams.groupBy("block").agg(F.collect_list(F.struct("i", "j", "g")).alias("m"))  # an entry a pair of nodes
+    firsts = F.explode(F.array_sort(F.array_distinct(F.transform("m", lambda e: e["i"])))).alias("first")
+    rows = entries.select("block", "m", firsts).where(F.col("first") != F.lit(node))
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for block, m, first in zip(frame["block"], frame["m"], frame["first"], strict=True):
+                names = sorted({e["i"] for e in m})
+                at = {n: k for k, n in enumerate(names)}
+                matrix = np.zeros((len(names), len(names)))
+                for e in m:
+                    matrix[at[e["i"]], at[e["j"]]] = e["g"]
+                if node in at:
+                    yield from sets(block, names, matrix, at[first], at[node])
+
+    def sets(block: object, names: list, matrix: np.ndarray, first: int, own: int) -> Iterator[pd.DataFrame]:
+        later = [k for k in range(first + 1, len(names)) if k != own]
+        for card in range(4, size + 1):
+            found = ((first, *rest) for rest in combinations(later, card - 1))
+            while chunk := list(islice(found, batch)):
+                t = np.array(chunk)
+                gram, g = matrix[t[:, :, None], t[:, None, :]], matrix[t, own]
+                solvable = np.linalg.det(gram) != 0
+                explained = np.zeros(len(t))
+                explained[solvable] = (g[solvable] * np.linalg.solve(gram[solvable], g[solvable][:, :, None])[:, :, 0]).sum(axis=1)
+                yield pd.DataFrame({"block": block, "members": [[names[k] for k in row] for row in chunk], "card": card, "z": matrix[own, own] - explained})
+
+    return rows.repartition("block", "first").mapInPandas(work, f"block {kinds['block']}, members array<{kinds['i']}>, card int, z double")
+
+
 def scores(residual: DataFrame, length: int, penalty: float = 0.0) -> DataFrame:
     """(members, card, score): mean residual energy per sample over all blocks, plus the penalty per member."""
     return residual.groupBy("members", "card").agg((F.sum("z") / (F.count("*") * length) + F.first("card") * F.lit(float(penalty))).alias("score"))

@@ -38,11 +38,10 @@ def ordered_difference(df: DataFrame, key: str, order: list[str], value: str) ->
     return df.withColumn("diff", F.col(value) - F.lag(value).over(w)).where("diff IS NOT NULL")
 
 
-def pair_average(samples: DataFrame, place: dict[str, int]) -> DataFrame:
-    """Half the sum of series 2k - 1 and 2k, by their places 1, 2, ...; the result is series "k"."""
-    rank = F.create_map(*[F.lit(v) for item in sorted(place.items()) for v in item])
-    at = F.try_element_at(rank, F.col("series"))
-    return samples.where(at.isNotNull()).groupBy(F.floor((at + 1) / 2).cast("string").alias("series"), "t").agg((F.sum("x") / 2).alias("x"))
+def pair_average(samples: DataFrame, places: DataFrame) -> DataFrame:
+    """Half the sum of series 2k - 1 and 2k, by their places 1, 2, ... in (series, place); the result is series "k"."""
+    placed = samples.join(places.select("series", "place"), "series")
+    return placed.groupBy(F.floor((F.col("place") + 1) / 2).cast("string").alias("series"), "t").agg((F.sum("x") / 2).alias("x"))
 
 
 def with_noise(samples: DataFrame, count: int, scale: float = 1000.0, seed: int = 0) -> DataFrame:

@@ -88,8 +88,7 @@ SELECT CAST((c + 1) // 2 AS VARCHAR) AS series, t, sum(x) / 2 AS x FROM p GROUP
 """)
 def pair_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = hours(spark, sf_dir)
-    names = sorted(r["series"] for r in counts.select("series").distinct().collect())  # the event types
-    return series.pair_average(counts, {n: k for k, n in enumerate(names, 1)})
+    return series.pair_average(counts, tabular.with_rank(counts.select("series").distinct(), [F.asc("series")], "place"))
 
 
 @query(f"WITH {DIFFS} SELECT series, t, x FROM d")
@@ -280,6 +279,22 @@ def significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.significance(points, control).select("card", six("gain").alias("gain"), six("ratio").alias("ratio"))
 
 
+STEP = "g{0} AS (SELECT x.i, x.j, x.g - l.g * r.g / d.g AS g FROM g{1} x JOIN o ON o.k = {0} JOIN g{1} l ON l.i = x.i AND l.j = o.n JOIN g{1} r ON r.i = o.n AND r.j = x.j JOIN g{1} d ON d.i = o.n AND d.j = o.n)"
+
+
+@query(f"""
+WITH {DIFFS}, g0 AS (SELECT a.series AS i, b.series AS j, sum(a.x * b.x) AS g FROM d a JOIN d b ON a.t = b.t GROUP BY 1, 2),
+o AS (SELECT n, row_number() OVER (ORDER BY n) AS k FROM (SELECT DISTINCT i AS n FROM g0 WHERE i <> '{NODE}')),
+{', '.join(STEP.format(k, k - 1) for k in range(1, 5))}
+SELECT (SELECT string_agg(n, ',' ORDER BY n) FROM o WHERE k <= 4) AS members, 4 AS card, round(g / 1000, 6) + 0.0 AS score FROM g4 WHERE i = '{NODE}' AND j = '{NODE}'
+""")
+def full_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node's residual on its four fellow series together, one block of all hours; the SQL eliminates them one after another."""
+    whole_gram = selection.gram(series.difference(hours(spark, sf_dir), 24).withColumn("block", F.lit(0)))
+    sets = selection.scores(selection.residuals(settled(whole_gram), NODE, 4), 1000).where("card = 4")
+    return flat(sets).select("members", "card", six("score").alias("score"))
+
+
 @query("SELECT array_to_string([a.k, b.k], ',') AS members, 2 AS card FROM (SELECT DISTINCT n_nationkey AS k FROM nation) a, (SELECT n_nationkey AS k FROM nation) b WHERE a.k < b.k UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 1 FROM nation UNION ALL SELECT array_to_string([a.n_nationkey, b.n_nationkey, c.n_nationkey], ','), 3 FROM nation a, nation b, nation c WHERE a.n_nationkey < b.n_nationkey AND b.n_nationkey < c.n_nationkey")
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = selection.candidates(read(spark, sf_dir, "nation"), "n_nationkey", 3)
@@ -671,12 +686,15 @@ def local_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Model kernels and experiments ----------------------------------------------------------------------------------------------
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A copy of a model's matrix for each of a fixed number of tasks; each solves the columns whose place falls to it."""
+    return df.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(df.sparkSession.sparkContext.defaultParallelism - 1))))
+
+
 @query()
 def group_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each series' coefficients on the others, grouped over the days: one task per series, from Gram blocks."""
-    g = grams(spark, sf_dir)
-    names = g.select("i").distinct()
-    tagged = g.join(names.select(F.col("i").alias("target")))
+    """Each series' coefficients on the others, grouped over the days, from Gram blocks: the series are dealt to the tasks."""
+    shares = spark.sparkContext.defaultParallelism
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = sorted(pdf["i"].unique())
@@ -684,27 +702,29 @@ def group_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
         blocks = {b: k for k, b in enumerate(sorted(pdf["block"].unique()))}
         m = np.zeros((len(blocks), len(nodes), len(nodes)))
         m[pdf["block"].map(blocks), pdf["i"].map(at), pdf["j"].map(at)] = pdf["g"]
-        t = at[key[0]]
-        others = [k for k in range(len(nodes)) if k != t]
-        z = regression.group_lasso(m[:, others][:, :, others], m[:, others, t], 20.0)
-        return pd.DataFrame({"target": key[0], "node": [nodes[k] for k in others], "strength": (z**2).sum(axis=0).round(6)})
+        rows = []
+        for t in range(int(key[0]), len(nodes), shares):
+            others = [k for k in range(len(nodes)) if k != t]
+            z = regression.group_lasso(m[:, others][:, :, others], m[:, others, t], 20.0)
+            rows += [(nodes[t], nodes[k], float(s)) for k, s in zip(others, (z**2).sum(axis=0).round(6), strict=True)]
+        return pd.DataFrame(rows, columns=["target", "node", "strength"])
 
-    return tagged.groupBy("target").applyInPandas(work, "target string, node string, strength double")
+    return dealt(grams(spark, sf_dir)).groupBy("share").applyInPandas(work, "target string, node string, strength double")
 
 
 @query()
 def clime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse precision columns of the hourly counts' correlation."""
-    cov = selection.covariance(hours(spark, sf_dir)).withColumn("one", F.lit(1))
+    """Sparse precision columns of the hourly counts' correlation: the columns are dealt to the tasks."""
+    shares = spark.sparkContext.defaultParallelism
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot(index="i", columns="j", values="cov").sort_index().sort_index(axis=1)
         scale = np.sqrt(np.diag(m.to_numpy()))
         corr = m.to_numpy() / np.outer(scale, scale)
-        rows = [(m.index[c], m.index[r], round(float(v), 4)) for c in range(len(m)) for r, v in enumerate(regression.constrained_column(corr, c, 0.1))]
+        rows = [(m.index[c], m.index[r], round(float(v), 4)) for c in range(int(key[0]), len(m), shares) for r, v in enumerate(regression.constrained_column(corr, c, 0.1))]
         return pd.DataFrame(rows, columns=["target", "node", "beta"])
 
-    return cov.groupBy("one").applyInPandas(work, "target string, node string, beta double")
+    return dealt(settled(selection.covariance(hours(spark, sf_dir)))).groupBy("share").applyInPandas(work, "target string, node string, beta double")
 
 
 @query()
