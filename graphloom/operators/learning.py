@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.arrays import box_clip
+from graphloom.functions.arrays import added, ball_clip, box_clip, dot, scaled
 from graphloom.operators.graphs import degrees, divergence, ends, gradient
 from graphloom.plans.state import settled
 
@@ -115,7 +115,7 @@ def solve(nodes: DataFrame, edges: DataFrame, problem: Problem, rounds: int, gra
     return nodes.groupBy(graph).cogroup(edges.groupBy(graph)).applyInPandas(work, f"`{graph}` {kind}, nid long, x double, average double")
 
 
-# Regression with a weight vector at each node -------------------------------------------------------------------------------
+# Regression with a weight vector at each node: loop_regression() on tables, solve_regression() by a task per graph ---------------
 
 
 @dataclass(frozen=True)
@@ -178,6 +178,41 @@ def solve_regression(nodes: DataFrame, edges: DataFrame, problem: Regression, ro
     return nodes.groupBy(graph).cogroup(edges.groupBy(graph)).applyInPandas(work, f"`{graph}` {kind}, nid long, weights array<double>, predicted double")
 
 
+def loop_regression(nodes: DataFrame, edges: DataFrame, problem: Regression, rounds: int, dimension: int, settle_every: int = 2) -> DataFrame:
+    """(nid, weights, predicted) of one graph too large for a task: regress() on tables. Vectors are array columns; a round is two
+    equi-joins on node ids and one grouped sum of `dimension` numbers, combined before it moves."""
+    zero = F.array(*[F.lit(0.0)] * dimension)
+    kept = degrees(nodes.select("nid", "feature", F.coalesce("label", F.lit(0.0)).alias("label"), "is_labeled"), edges)
+    labelled = nodes.agg(F.count_if("is_labeled").alias("_card"))  # one row
+    state = settled(kept.join(F.broadcast(labelled)).select("nid", "feature", "label", "is_labeled", "gamma", "_card", zero.alias("w"), zero.alias("prev"), zero.alias("average")))
+    flows = edges.select("src", "dst", zero.alias("y"))
+    for k in range(1, rounds + 1):
+        ahead = state.select("nid", F.zip_with("w", "prev", lambda a, b: 2.0 * a - b).alias("v"))
+        met = flows.join(ahead.select(F.col("nid").alias("src"), F.col("v").alias("_a")), "src").join(ahead.select(F.col("nid").alias("dst"), F.col("v").alias("_b")), "dst")
+        step = scaled(F.zip_with("_a", "_b", lambda a, b: a - b), problem.dual * 0.5)
+        flows = met.select("src", "dst", ball_clip(added("y", step), problem.bound).alias("y"))
+        signed = F.inline(F.array(F.struct(F.col("src").alias("nid"), F.col("y").alias("v")), F.struct(F.col("dst").alias("nid"), scaled("y", -1.0).alias("v"))))
+        sums = flows.select(signed).groupBy("nid").agg(F.array(*[F.sum(F.col("v")[d]) for d in range(dimension)]).alias("div"))
+        z = F.zip_with("w", F.coalesce("div", zero), lambda a, b: a - problem.primal * F.col("gamma") * b)
+        moved = state.join(sums, "nid", "left").withColumn("z", z).withColumn("_c", _regression_step(problem))
+        w = added("z", scaled("feature", F.when(F.col("is_labeled"), F.col("_c")).otherwise(0.0)))
+        state = moved.select("nid", "feature", "label", "is_labeled", "gamma", "_card", w.alias("w"), F.col("w").alias("prev"), "average")
+        state = state.withColumn("average", scaled(added(scaled("average", k - 1.0), "w"), 1.0 / k))
+        if k % settle_every == 0 or k == rounds:
+            flows, state = settled(flows), settled(state)
+    return state.select("nid", F.col("average").alias("weights"), dot("average", "feature").alias("predicted"))
+
+
+def _regression_step(problem: Regression) -> Column:
+    """How far along its feature a labelled node's weights z move; regress() has the formulas."""
+    size, along = F.greatest(dot("feature", "feature"), F.lit(1e-300)), dot("feature", "z")
+    if problem.loss == "squared":
+        tau = F.col("_card") / (2.0 * F.greatest("gamma", F.lit(1e-300)))
+        return (F.col("label") - along) / (problem.variance * tau + size)
+    gap = along - F.col("label")
+    return (F.col("label") + F.signum(gap) * F.greatest(F.abs(gap) - F.col("gamma") * size, F.lit(0.0)) - along) / size
+
+
 def optimality_gap(average: DataFrame, flows: DataFrame, nodes: DataFrame, edges: DataFrame, rounds: int, start: DataFrame) -> DataFrame:
     """One row: the average's variation, and the bound (1 / 2k) p' G^-1 p + (d - s)' L^-1 (d - s), with p = 1, d the reference flow in
     `start` (src, dst, d) and s the signs of the average's differences."""

@@ -594,21 +594,74 @@ def _regression(spark: SparkSession, sf_dir: str, problem: learning.Regression)
     return out.select("nid", F.transform("weights", lambda w: F.round(w, 6)).alias("weights"), six("predicted").alias("predicted"), six("label").alias("label"), "is_labeled")
 
 
+USERS = """
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+cm AS (SELECT user_id, (rn - 1) // (n // 4) AS chunk, sum(value) / (max(n) // 4) AS mean FROM r WHERE n >= 4 AND (rn - 1) // (n // 4) < 4 GROUP BY 1, 2),
+u AS MATERIALIZED (SELECT user_id AS nid, max(mean) FILTER (chunk = 0) / 100.0 AS f0, max(mean) FILTER (chunk = 1) / 100.0 AS f1, max(mean) FILTER (chunk = 2) / 100.0 AS f2, max(mean) FILTER (chunk = 3) / 100.0 AS label, user_id % 5 = 0 AS seed FROM cm GROUP BY user_id),
+rk AS (SELECT nid, other, row_number() OVER (PARTITION BY nid ORDER BY d2, other) AS rank FROM (SELECT a.nid, b.nid AS other, round((a.f0 - b.f0) * (a.f0 - b.f0) + (a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2), 6) AS d2 FROM u a JOIN u b ON a.nid <> b.nid)),
+kn AS MATERIALIZED (SELECT DISTINCT least(nid, other) AS src, greatest(nid, other) AS dst FROM rk WHERE rank <= 3),
+dg AS (SELECT nid, 1.0 / count(*) AS gamma FROM (SELECT src AS nid FROM kn UNION ALL SELECT dst FROM kn) GROUP BY nid),
+"""
+
+
+def _regression_sql(problem: learning.Regression, rounds: int) -> str:
+    """The rounds as one relation after another: s holds weights w, those before p and averages m of the nodes, y the flows."""
+    each = lambda text: ", ".join(text.replace("#", str(d)) for d in range(3))
+    dotted = lambda a, b: " + ".join(f"{a}{d} * {b}{d}" for d in range(3))
+    along, size = dotted("f", "z"), f"greatest({dotted('f', 'f')}, 1e-300)"
+    if problem.loss == "squared":
+        move = f"(label - ({along})) / ({problem.variance!r}::DOUBLE * (SELECT count(*) FROM u WHERE seed) / (2.0 * greatest(gamma, 1e-300)) + {size})"
+    else:
+        move = f"(label + sign({along} - label) * greatest(abs({along} - label) - gamma * {size}, 0.0) - ({along})) / {size}"
+    parts = ["s0 AS MATERIALIZED (SELECT u.*, coalesce(gamma, 0.0) AS gamma, " + each("0.0::DOUBLE AS w#, 0.0::DOUBLE AS p#, 0.0::DOUBLE AS m#") + " FROM u LEFT JOIN dg USING (nid))", "y0 AS MATERIALIZED (SELECT src, dst, " + each("0.0::DOUBLE AS y#") + " FROM kn)"]
+    for k in range(1, rounds + 1):
+        parts += [
+            f"t{k} AS (SELECT src, dst, " + each(f"y# + {problem.dual / 2!r}::DOUBLE * ((2 * a.w# - a.p#) - (2 * b.w# - b.p#)) AS t#") + f" FROM y{k - 1} JOIN s{k - 1} a ON a.nid = src JOIN s{k - 1} b ON b.nid = dst)",
+            f"y{k} AS MATERIALIZED (SELECT src, dst, " + each(f"t# * coalesce(least(1.0, {problem.bound!r}::DOUBLE / nullif(sqrt({dotted('t', 't')}), 0)), 1.0) AS y#") + f" FROM t{k})",
+            f"d{k} AS (SELECT nid, " + each("sum(v#) AS d#") + " FROM (SELECT src AS nid, " + each("y# AS v#") + f" FROM y{k} UNION ALL SELECT dst, " + each("-y#") + f" FROM y{k}) GROUP BY nid)",
+            f"z{k} AS (SELECT s.*, " + each(f"w# - {problem.primal!r}::DOUBLE * gamma * coalesce(d#, 0) AS z#") + f" FROM s{k - 1} s LEFT JOIN d{k} USING (nid))",
+            f"c{k} AS (SELECT *, CASE WHEN seed THEN {move} ELSE 0.0 END AS c FROM z{k})",
+            f"s{k} AS MATERIALIZED (SELECT nid, f0, f1, f2, label, seed, gamma, " + each(f"z# + f# * c AS w#, w# AS p#, (m# * {k - 1} + z# + f# * c) / {k} AS m#") + f" FROM c{k})",
+        ]
+    return "WITH " + USERS + ",\n".join(parts) + "\nSELECT nid, " + each("round(m#, 6) + 0.0 AS w#") + f", round({dotted('m', 'f')}, 6) + 0.0 AS predicted FROM s{rounds}"
+
+
+def _regression_table(spark: SparkSession, sf_dir: str, problem: learning.Regression, rounds: int) -> DataFrame:
+    users, edges = (settled(x.drop("graph_id")) for x in user_graph(spark, sf_dir))
+    out = learning.loop_regression(users, edges, problem, rounds, 3)
+    return out.select("nid", *[six(F.col("weights")[d]).alias(f"w{d}") for d in range(3)], six("predicted").alias("predicted"))
+
+
+SQUARED = learning.Regression()
+ABSOLUTE = learning.Regression("absolute", 1 / 7, 0.5, 0.5)
+
+
+@query(_regression_sql(SQUARED, 4))
+def nlasso_squared_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rounds on tables; nlasso_squared runs many in one task."""
+    return _regression_table(spark, sf_dir, SQUARED, 4)
+
+
+@query(_regression_sql(ABSOLUTE, 4))
+def nlasso_absolute_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _regression_table(spark, sf_dir, ABSOLUTE, 4)
+
+
 @query()
 def nlasso_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _regression(spark, sf_dir, learning.Regression())
+    return _regression(spark, sf_dir, SQUARED)
 
 
 @query()
 def nlasso_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _regression(spark, sf_dir, learning.Regression("absolute", 1 / 7, 0.5, 0.5))
+    return _regression(spark, sf_dir, ABSOLUTE)
 
 
 @query()
 def prediction_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative errors on unlabelled users: network lasso, and least absolute deviations on the labelled ones."""
     users, edges = user_graph(spark, sf_dir)
-    predicted = learning.solve_regression(users, edges, learning.Regression("absolute", 1 / 7, 0.5, 0.5), 200).join(users.select("nid", "label", "is_labeled"), "nid")
+    predicted = learning.solve_regression(users, edges, ABSOLUTE, 200).join(users.select("nid", "label", "is_labeled"), "nid")
     lasso = predicted.where("NOT is_labeled").agg(six(tabular.normalised_error(F.col("predicted"), F.col("label"))).alias("nlasso"))
 
     def baseline(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -234,3 +234,19 @@ def test_spread_join(spark):
         want = sorted(map(str, rows.join(small, "k", how).collect()))
         for limits in ({}, {"broadcast_rows": 1, "hot_rows": 100}, {"broadcast_rows": 1}, {"broadcast_rows": 1, "hot_rows": 3}):
             assert sorted(map(str, joins.spread_join(rows, small, "k", "v", how, **limits).collect())) == want
+
+
+@pytest.mark.parametrize("problem", [learning.Regression(variance=0.5), learning.Regression("absolute", 1 / 7, 0.5, 0.5)])
+def test_regression_loop_equals_kernel(spark, problem):
+    """An isolated node, a null label and a zero feature included."""
+    g = np.random.default_rng(3)
+    x, y = g.standard_normal((9, 2)), g.standard_normal(9)
+    x[4] = 0.0
+    seeds = np.arange(9) % 2 == 0
+    src, dst = np.array([0, 0, 1, 2, 3, 5, 4]), np.array([1, 2, 3, 3, 5, 6, 7])  # node 8 alone
+    nodes = spark.createDataFrame([(i, x[i].tolist(), float(y[i]) if i != 3 else None, bool(seeds[i])) for i in range(9)], "nid long, feature array<double>, label double, is_labeled boolean")
+    edges = spark.createDataFrame([(int(a), int(b), 1.0) for a, b in zip(src, dst, strict=True)], "src long, dst long, w double")
+    want = learning.regress(src, dst, x, np.where(np.arange(9) == 3, 0, y), seeds, problem, 7)
+    found = {r["nid"]: r for r in learning.loop_regression(nodes, edges, problem, 7, 2).collect()}
+    for i in range(9):
+        assert found[i]["weights"] == pytest.approx(want[i].tolist(), abs=1e-9) and found[i]["predicted"] == pytest.approx(float(want[i] @ x[i]), abs=1e-9)
