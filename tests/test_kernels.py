@@ -141,3 +141,22 @@ def test_random_models():
     assert np.linalg.eigvalsh(c[0])[0] == pytest.approx(1.1) and c[3, 0, 0] > c[0, 0, 0]
     assert experiments.masked_precision(9, "grid").sum() > experiments.masked_precision(9).sum()
     assert experiments.all_neighbourhoods(np.linalg.inv(experiments.chain_precisions(5, 1.2, 2)), 2000, 2, 0.02, experiments.rng(1))[0] == {1}
+
+
+@pytest.mark.parametrize(
+    ("method", "published"),
+    [
+        # Shares of 100 runs that miss the neighbours, by samples in four blocks, for chains of 64 nodes.
+        ("exhaustive", {40: 1, 80: 0.88, 120: 0.8, 160: 0.46, 200: 0.28, 240: 0.16, 280: 0.14, 320: 0.05, 360: 0.03, 400: 0.02}),
+        ("group_lasso", {120: 0.93, 200: 0.6, 320: 0.19}),
+    ],
+)
+def test_error_rates_follow_the_published_curves(method, published):
+    """Within three binomial errors of both experiments, whose draws differ."""
+    k = experiments.chain_precisions(64, 1.0, 4)
+    cov, rho = np.linalg.inv(k), experiments.least_strength(k)
+    for samples, rate in published.items():
+        length = samples // 4
+        missed = np.mean([experiments.select(method, experiments.blockwise_samples(cov, length, experiments.rng(1, 64, length, run)), 1, 2, rho) != {0, 2} for run in range(100)])
+        error = np.sqrt((missed * (1 - missed) + rate * (1 - rate)) / 100)
+        assert abs(missed - rate) <= 3 * max(error, 0.01), (samples, missed, rate)
