@@ -4,11 +4,11 @@ Shifts are equi-joins on (series, t + lag): a long series is dealt over all task
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import spectra
+
 
 def hourly_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type") -> DataFrame:
     """Counts by hour and kind, zeros included; t = 1 is the first hour of the table."""
@@ -90,13 +90,12 @@ def autocovariance(samples: DataFrame, lags: int) -> DataFrame:
     return sums.join(F.broadcast(sizes), "series").select("series", "lag", (F.col("s") / F.col("n")).alias("acov"))  # a row a series
 
 
-def fourier(samples: DataFrame, size: int, frequencies: int | None = None) -> DataFrame:
-    """Discrete Fourier coefficients (series, freq, re, im) of the first `size` steps, zero-padded if the series is shorter. Terms
-    are summed before they move, so each task ships one row per series and frequency."""
-    count = size if frequencies is None else frequencies
-    angle = F.lit(2 * math.pi / size) * ((F.col("freq") * (F.col("t") - 1)) % size)
-    spread = samples.where(F.col("t") <= size).withColumn("freq", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    return spread.groupBy("series", "freq").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(-F.col("x") * F.sin(angle)).alias("im"))
+def fourier(samples: DataFrame, size: int, frequencies: int | None = None, longest: int = spectra.CELLS) -> DataFrame:
+    """Discrete Fourier coefficients (series, freq, re, im) of the first `size` steps, zero-padded if the series is shorter, by the
+    four-step transform: n log n work and two shuffles of n rows a series, no task holding a series longer than `longest`."""
+    found = spectra.transform(samples, size, longest)
+    kept = found if frequencies is None else found.where(F.col("place") < frequencies)
+    return kept.select("series", F.col("place").cast("int").alias("freq"), "re", "im")
 
 
 def cross_periodogram(coefficients: DataFrame, length: int) -> DataFrame:
