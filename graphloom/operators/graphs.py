@@ -3,13 +3,11 @@ makes the same graph."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.functions.arrays import dot, gaussian_weight, hash_normal, hash_uniform, norm, scaled
+from graphloom.operators.neighbours import nearest  # noqa: F401
 
 
 def node_range(spark: SparkSession, count: int, first: int = 0) -> DataFrame:
@@ -130,33 +128,6 @@ def match_within(left: DataFrame, right: DataFrame, radius: float, lkey: str, rk
     return a.join(b, ["cx", "cy"]).select(lkey, rkey, d2.alias("d2")).where(F.col("d2") < radius * radius)
 
 
-def nearest(vectors: DataFrame, k: int, node: str = "vec_id", vector: str = "embedding", block: int = 1024, digits: int = 6) -> DataFrame:
-    """(nid, other, d2, rank): each vector's k nearest others, exact, ties by id. Vectors are dealt into blocks; every two blocks meet
-    in one task, which returns its best k per vector, so memory is bounded by two blocks and only k rows per vector and block move on."""
-    count = vectors.count()
-    parts = max(1, -(-count // block))
-    mine = vectors.select(F.col(node).cast("long").alias("nid"), F.col(vector).cast("array<double>").alias("v")).withColumn("part", F.pmod(F.xxhash64("nid"), F.lit(parts)))
-    as_query = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("part", "other", F.lit(0).alias("side"), "nid", "v")
-    as_base = mine.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(F.col("q").cast("long").alias("part"), F.col("part").cast("int").alias("other"), F.lit(1).alias("side"), "nid", "v")
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if q.empty or b.empty:
-            return pd.DataFrame({"nid": [], "other": [], "d2": []})
-        base, ids = np.stack(b["v"].to_list()), b["nid"].to_numpy()
-        rows = []
-        for nid, v in zip(q["nid"], q["v"], strict=True):
-            d = np.round(((base - v) ** 2).sum(axis=1), digits)
-            keep = ids != nid
-            order = np.lexsort((ids[keep], d[keep]))[:k]
-            rows += [(nid, o, x) for o, x in zip(ids[keep][order], d[keep][order], strict=True)]
-        return pd.DataFrame(rows, columns=["nid", "other", "d2"])
-
-    met = as_query.unionByName(as_base).groupBy("part", "other").applyInPandas(best, "nid long, other long, d2 double")
-    w = Window.partitionBy("nid").orderBy("d2", "other")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def symmetric(directed: DataFrame, a: str = "nid", b: str = "other") -> DataFrame:
     """Undirected edges (src, dst, w = 1): one for each pair that is linked in either direction."""
     return directed.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).distinct().withColumn("w", F.lit(1.0))
