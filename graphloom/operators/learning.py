@@ -115,7 +115,8 @@ def solve(nodes: DataFrame, edges: DataFrame, problem: Problem, rounds: int, gra
     return nodes.groupBy(graph).cogroup(edges.groupBy(graph)).applyInPandas(work, f"`{graph}` {kind}, nid long, x double, average double")
 
 
-# Regression with a weight vector at each node: loop_regression() on tables, solve_regression() by a task per graph ---------------
+# Regression with a weight vector at each node: solve_regression() for many graphs, a task each; loop_regression() for a few rounds on
+# tables; partitioned.regression() for one graph to convergence -----------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -213,6 +214,28 @@ def _regression_step(problem: Regression) -> Column:
     return (F.col("label") + F.signum(gap) * F.greatest(F.abs(gap) - F.col("gamma") * size, F.lit(0.0)) - along) / size
 
 
+def least_absolute(rows: DataFrame, dimension: int, feature: str = "feature", label: str = "label", rounds: int = 50, floor: float = 1e-6, tolerance: float = 1e-6) -> list[float]:
+    """The weights w that minimise the sum of |label - feature . w|, by reweighted least squares: a round is one grouped sum of the moments,
+    each row weighted by one over its last residual (at least `floor` of the largest label), and a system of `dimension` unknowns on the driver.
+    Zeros without rows."""
+    scale = rows.agg(F.max(F.abs(label))).first()[0]
+    w = np.zeros(dimension)
+    if not scale:
+        return w.tolist()
+    x = [F.element_at(feature, k + 1) for k in range(dimension)]
+    for k in range(rounds):
+        left = F.abs(F.col(label) - dot(feature, F.array(*[F.lit(float(v)) for v in w])))
+        weight = F.lit(1.0) if not k else 1.0 / F.greatest(left, F.lit(floor * scale))
+        held = rows.select(weight.alias("_u"), *[c.alias(f"_x{i}") for i, c in enumerate(x)], F.col(label).alias("_t"))
+        columns = [*[f"_x{i}" for i in range(dimension)], "_t"]
+        sums = held.agg(*[F.sum(F.col("_u") * F.col(a) * F.col(b)).alias(f"{a}{b}") for i, a in enumerate(columns) for b in columns[i:]]).first().asDict()
+        moment = np.array([[sums[f"{a}{b}"] if i <= j else sums[f"{b}{a}"] for j, b in enumerate(columns)] for i, a in enumerate(columns)])
+        before, w = w, np.linalg.lstsq(moment[:-1, :-1], moment[:-1, -1], rcond=None)[0]
+        if np.abs(w - before).max() <= tolerance * max(1.0, np.abs(w).max()):
+            break
+    return w.tolist()
+
+
 def optimality_gap(average: DataFrame, flows: DataFrame, nodes: DataFrame, edges: DataFrame, rounds: int, start: DataFrame) -> DataFrame:
     """One row: the average's variation, and the bound (1 / 2k) p' G^-1 p + (d - s)' L^-1 (d - s), with p = 1, d the reference flow in
     `start` (src, dst, d) and s the signs of the average's differences."""

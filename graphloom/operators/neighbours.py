@@ -98,6 +98,8 @@ def _between_points(points: DataFrame, k: int, block: int, digits: int, pivots:
     start = packed.select(F.col("block").alias("a"), beside.alias("b")).where(F.col("b").between(0, work.blocks - 1)).withColumn("worst", F.lit(float("inf")))
     work.met = start.count()
     best = kept(met(start))
+    if work.blocks <= 2:  # all pairs have met
+        return best.select(F.col("nid").alias("rep"), "other", "d2")
     worst = reaches(best)
 
     found = _descended(packed.select("block", "lo", "hi"), worst.select("block", reach_of.alias("reach")), work.blocks)

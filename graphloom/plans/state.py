@@ -56,3 +56,9 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(file, file.relative_to(ROOT))
         context.addPyFile(str(archive))
         context._graphloom_shipped = True
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing is read from any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
