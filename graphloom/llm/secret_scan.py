@@ -1,10 +1,14 @@
 """Secrets in texts: three fixed patterns, and strings in a sensitive context that a dictionary-primed zstandard model can't predict.
 
 A string of 16 or more token characters after a sensitive word is a candidate. Its novelty is the number of bytes by which
-it makes the compressed surroundings longer, with a dictionary of identifiers (fixed ones and those that most texts of the corpus
-have near sensitive words) and the surrounding text as history. Random
+it makes the compressed surroundings longer, with a dictionary of identifiers (fixed ones and those that a share of the corpus' texts
+have near sensitive words) and the surrounding text, less all copies of the candidate itself, as history. Random
 strings, with or without digits, stay incompressible; long ones cost about the bits a character of their alphabet, 4 in hexadecimal
-and 6 in base 64, and are held against these. Identifiers, paths and repeated values cost little.
+and 6 in base 64, and are held against these. Identifiers and paths cost little. A string that costs enough at one of its places in a
+sensitive context is reported wherever it stands in the text as a token of its own.
+
+The dictionary depends on the shares of texts, not on their number: a corpus and several copies of it give the same spans. Only
+identifiers that are no part of a longer token get into it, so no secret primes for itself.
 
 Defined results: a null text counts as empty; an empty text has no spans; repeated rows are judged one by one; a null id
 stays null; extra columns of the input don't matter.
@@ -34,7 +38,7 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,14}(?![A-Za-z0-9_])", re.A)
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z_][A-Za-z0-9_]{3,14}(?![A-Za-z0-9+/_-])", re.A)
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api_?key|private_?key|credential|bearer|authorization|client_?id|signature|session_?id|aws_", re.I | re.A)
 CONTEXTS = ("pass", "secret", "token", "key", "credential", "bearer", "authorization", "client", "signature", "session", "aws_")
 #: Identifiers that code has around credentials without being one.
@@ -57,7 +61,7 @@ class SecretRules:
     distinct: int = 8  #: different characters a candidate must have
     assign_length: int = 8
     identifiers: int = 1000  #: identifiers of the corpus that prime the compressor, 15 characters each at most
-    least_texts: int = 20  #: texts that must have such an identifier
+    least_texts: float = 0.04  #: share of the texts with sensitive words that must have such an identifier
 
 
 def marginal_bytes(before: str, candidate: str, after: str, identifiers: str = IDENTIFIERS) -> int:
@@ -98,29 +102,49 @@ def sensitive_ends(text: str) -> list[int]:
     return [m.end() for m in SENSITIVE.finditer(text)] if any(k in low for k in CONTEXTS) else []
 
 
+def without_copies(text: str, lo: int, hi: int, string: str) -> str:
+    """text[lo:hi] less what belongs to copies of the string, those that reach over its ends included."""
+    lo = max(0, lo)
+    kept, at = [], lo
+    place = text.find(string, max(0, lo - len(string) + 1), hi + len(string) - 1)
+    while place >= 0:
+        kept.append(text[at : max(at, min(place, hi))])
+        at = max(at, place + len(string))
+        place = text.find(string, place + len(string), hi + len(string) - 1)
+    return "".join(kept) + text[at:hi]
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], rules: SecretRules = SecretRules(), identifiers: str = IDENTIFIERS) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of further strings in a sensitive context that don't compress. taken: spans by start. Words, candidates and
-    taken spans are each gone through once."""
+    """(start, 3, end) of further strings in a sensitive context that don't compress, and of their copies. taken: spans by start. Words,
+    candidates and taken spans are each gone through once, and once more if there is something to report."""
     ends = sensitive_ends(text)
     if not ends:
         return []
-    found, reach, at = [], -1, 0  # the furthest end of the taken spans that begin before `at`
-    for m in CANDIDATE.finditer(text, ends[0]):
+    novel: set[str] = set()
+    for m, free in _candidates(text, ends[0], taken):
         a, b = m.span()
         last = bisect_right(ends, a)
-        while at < len(taken) and taken[at][0] < b:
-            reach, at = max(reach, taken[at][2]), at + 1
-        if not last or a - ends[last - 1] > rules.context_before or reach > a or len(set(m[0])) < rules.distinct:
+        if not free or m[0] in novel or not last or a - ends[last - 1] > rules.context_before or len(set(m[0])) < rules.distinct:
             continue
-        cost = marginal_bytes(text[max(0, a - rules.surroundings) : a], m[0], text[b : b + rules.surroundings], identifiers)
-        if cost >= least_share(m[0], rules) * len(m[0]):
-            found.append((a, 3, b))
-    return found
+        before, after = without_copies(text, a - rules.surroundings, a, m[0]), without_copies(text, b, b + rules.surroundings, m[0])
+        if marginal_bytes(before, m[0], after, identifiers) >= least_share(m[0], rules) * len(m[0]):
+            novel.add(m[0])
+    return [(m.start(), 3, m.end()) for m, free in _candidates(text, 0, taken) if free and m[0] in novel] if novel else []
+
+
+def _candidates(text: str, begin: int, taken: list[tuple[int, int, int]]) -> Iterator[tuple[re.Match, bool]]:
+    """Candidates, and whether no taken span overlaps them."""
+    reach, at = -1, 0  # the furthest end of the taken spans that begin before the candidate's end
+    for m in CANDIDATE.finditer(text, begin):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach, at = max(reach, taken[at][2]), at + 1
+        yield m, reach <= m.start()
 
 
 def identifier_dictionary(docs: DataFrame, rules: SecretRules = SecretRules(), text_col: str = "text") -> str:
     """The identifiers that most texts have near their sensitive words (ties: by name), the most frequent last, where zstandard
-    finds them cheapest, after the fixed ones. All texts are counted, combined in each task; only the chosen ones come to the driver."""
+    finds them cheapest, after the fixed ones; a share of the texts with sensitive words must have one. All texts are counted, combined in each
+    task; only the chosen ones come to the driver."""
     ship_package(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,18 +159,23 @@ def identifier_dictionary(docs: DataFrame, rules: SecretRules = SecretRules(), t
             for text in texts_of(batch.column(0)):
                 held: set[str] = set()
                 done = 0
-                for end in sensitive_ends(text):
+                found = sensitive_ends(text)
+                if found:
+                    held.add("")  # counts the texts
+                for end in found:
                     stop = end + rules.surroundings
-                    held.update(IDENTIFIER.findall(text, max(done, end - rules.surroundings), stop))
+                    whole = IDENTIFIER.finditer(text, max(done, end - rules.surroundings), stop)
+                    held.update(m[0] for m in whole if m.end() < stop or stop >= len(text))  # none that the window cuts
                     done = stop
                 seen.update(held)
                 if len(seen) > 200_000:
                     yield flush()
         yield flush()
 
-    counts = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= rules.least_texts)
-    chosen = counts.orderBy(F.desc("n"), "word").limit(rules.identifiers).collect()
-    return " ".join([IDENTIFIERS, *(r["word"] for r in reversed(chosen))]) + " "
+    counts = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    chosen = counts.orderBy(F.desc("n"), "word").limit(rules.identifiers + 1).collect()  # the texts themselves come first
+    least = rules.least_texts * chosen[0]["n"] if chosen else 0
+    return " ".join([IDENTIFIERS, *(r["word"] for r in reversed(chosen[1:]) if r["n"] >= least)]) + " "
 
 
 def _written(spans: list[tuple[int, int, int]]) -> str:

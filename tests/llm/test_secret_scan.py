@@ -61,13 +61,48 @@ def test_spans_as_plain_search():
         text = "".join(draw.choices(parts, k=draw.randrange(1, 25)))
         taken = s.base_spans(text)
         ends = [m.end() for m in s.SENSITIVE.finditer(text)]
-        want = []
-        for m in s.CANDIDATE.finditer(text):
+        free = [m for m in s.CANDIDATE.finditer(text) if not any(x < m.end() and m.start() < y for x, _, y in taken)]
+        novel = set()
+        for m in free:
             a, b = m.span()
-            if any(e <= a <= e + 48 for e in ends) and not any(x < b and a < y for x, _, y in taken) and len(set(m[0])) >= 8:
-                if s.marginal_bytes(text[max(0, a - 256) : a], m[0], text[b : b + 256]) >= s.least_share(m[0]) * len(m[0]):
-                    want.append((a, 3, b))
-        assert s.novel_spans(text, taken) == want, text
+            if any(e <= a <= e + 48 for e in ends) and len(set(m[0])) >= 8:
+                copies = {k for at in range(len(text)) if text.startswith(m[0], at) for k in range(at, at + len(m[0]))}
+                before, after = ("".join(text[k] for k in span if k not in copies) for span in (range(max(0, a - 256), a), range(b, min(len(text), b + 256))))
+                if s.marginal_bytes(before, m[0], after) >= s.least_share(m[0]) * len(m[0]):
+                    novel.add(m[0])
+        assert s.novel_spans(text, taken) == [(m.start(), 3, m.end()) for m in free if m[0] in novel], text
+
+
+def test_repeated_secrets():
+    """200 random keys, each once, twice in neighbouring lines, twice far apart, and once without a sensitive word: all places are reported."""
+    draw = random.Random(11)
+    line = "send it with Authorization: Bearer {} to the service\n"
+    far = "\n".join("some other words about the weather and the sea " * 3 for _ in range(8))
+    for _ in range(200):
+        key = "".join(draw.choices(string.ascii_letters + string.digits, k=24))
+        one = line.format(key)
+        for text, places in ((one, 1), (one + one, 2), (one + far + one, 2), (one * 40, 40), (f"see {key} and\n" + one, 2)):
+            assert s.novel_spans(text, []) == [(m.start(), 3, m.end()) for m in re.finditer(key, text)] and text.count(key) == places
+
+
+def test_without_copies():
+    assert s.without_copies("abXYcdXYef", 0, 10, "XY") == "abcdef"
+    assert s.without_copies("abXYcdXYef", 3, 7, "XY") == "cd"
+    assert s.without_copies("abXYcd", -5, 2, "XY") == "ab" and s.without_copies("XY", 1, 1, "XY") == ""
+
+
+def test_verdicts_dont_depend_on_the_size_of_the_table(spark):
+    draw = random.Random(12)
+    key = lambda: "".join(draw.choices(string.ascii_letters + string.digits, k=28))
+    rows = [(k, f"the bearer token of tenant_shard{k % 4} is {key()} in vault_region_{k % 3}_primary") for k in range(40)] + [(40, "secret path vault_region_1_primary/tenant_shard2/tenant_shard3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    many = docs
+    for copy in range(1, 30):
+        many = many.unionByName(docs.selectExpr(f"doc_id + {1000 * copy} AS doc_id", "text"))
+    assert s.identifier_dictionary(many) == s.identifier_dictionary(docs)
+    small = {r.doc_id: (r.base_sha256, r.spans) for r in s.scan(docs).collect()}
+    assert {r.doc_id: (r.base_sha256, r.spans) for r in s.scan(many).where("doc_id < 1000").collect()} == small
+    assert sum("novel" in v[1] for v in small.values()) == 40
 
 
 def test_corpus_identifiers(spark):
