@@ -75,13 +75,14 @@ def _between_points(points: DataFrame, k: int, block: int, digits: int, pivots:
     work.blocks = packed.count()
     size = packed.agg(F.sum(F.length("m"))).first()[0]
     home = packed.select("block", "reps")
+    dealt = 4 * points.sparkSession.sparkContext.defaultParallelism  # a number, as pairs are small rows that mean much work
     reach_of = F.sqrt(F.col("worst") + F.lit(2 * 10.0**-digits)) * (1 + 1e-9) + 1e-9  # rounding can't hide a neighbour
 
     def met(pairs: DataFrame) -> DataFrame:
         a, b = (packed.select(F.col("block").alias(x), F.col("reps").alias(f"{x}_ids"), F.col("m").alias(f"{x}_m")) for x in "ab")
         if size <= BROADCAST_BYTES:
             a, b = F.broadcast(a), F.broadcast(b)
-        rows = pairs.repartition("a", "b").join(a, "a").join(b, "b").select("a_ids", "a_m", "b_ids", "b_m", "worst")
+        rows = pairs.repartition(dealt, "a", "b").join(a, "a").join(b, "b").select("a_ids", "a_m", "b_ids", "b_m", "worst")
         return rows.mapInArrow(lambda batches: _compared(batches, k, digits, kind), FOUND)
 
     def kept(found: DataFrame) -> DataFrame:
