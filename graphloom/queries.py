@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.catalog import query
 from graphloom.functions import arrays
 from graphloom.kernels import networks, regression
-from graphloom.operators import graphs, learning, partitioned, selection, series, tabular
+from graphloom.operators import diffusion, graphs, learning, partitioned, selection, series, solvers, tabular
 from graphloom.plans import experiments
 from graphloom.plans.state import settled
 from graphloom.sources import observations as weather
@@ -736,6 +736,43 @@ def local_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return networks.per_graph(*small_graphs(spark), work, "graph_id int, method string, members array<long>, conductance double")
 
 
+# Large graphs: the same questions on tables, without a task that holds a graph ------------------------------------------------
+
+
+def neighbour_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph of nearest vectors, made once."""
+    nodes, edges = knn(spark, sf_dir)
+    return settled(nodes), settled(edges)
+
+
+@query()
+def knn_fiedler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second eigenpair of the Laplacian of the graph of nearest vectors."""
+    nodes, edges = neighbour_graph(spark, sf_dir)
+    told = solvers.Solved()
+    entry = solvers.fiedler(nodes.select("nid"), edges, tolerance=1e-4, told=told)
+    return entry.select("nid", F.lit(told.value).alias("fiedler"), "entry")
+
+
+@query()
+def knn_community(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The community of the first vector: pushed rank from it, and the prefix with the least conductance."""
+    nodes, edges = neighbour_graph(spark, sf_dir)
+    arcs = diffusion.weighted_ends(edges)
+    rank = diffusion.pushed_rank(arcs, nodes.orderBy("nid").limit(1).select("nid"), error=1e-3)
+    members, conductance = diffusion.sweep_cut(arcs, rank)
+    return rank.join(members.withColumn("member", F.lit(True)), "nid", "left").select("nid", "score", F.coalesce("member", F.lit(False)).alias("member"), F.lit(conductance).alias("conductance"))
+
+
+@query()
+def smooth_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all users that fit the labelled ones' labels and vary little along the edges."""
+    users, edges = (settled(x.drop("graph_id")) for x in user_graph(spark, sf_dir))
+    known = users.select("nid", "feature", F.when(F.col("is_labeled"), F.col("label")).alias("label"))
+    weights = solvers.smooth_model(known, edges, 0.1, 3, tolerance=1e-6)
+    return weights.join(users.select("nid", "feature"), "nid").select("nid", F.transform("weights", lambda w: F.round(w, 6)).alias("weights"), six(arrays.dot("weights", "feature")).alias("predicted"))
+
+
 # Model kernels and experiments ----------------------------------------------------------------------------------------------
 
 
