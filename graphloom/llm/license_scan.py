@@ -137,8 +137,8 @@ MARKS = (
     "attribution-sharealike", "attribution-noncommercial", "attribution-noderivatives", "attribution-noderivs",
     "attribution-noncommercial-sharealike", "attribution-noncommercial-noderivatives", "attribution-noncommercial-noderivs",
 )
-CUE = "licen[cs]e|copyright|spdx|all rights reserved|redistribution|unencumbered"
-CUE_STEMS = ("licen", "copyright", "spdx", "all rights reserved", "redistribution", "unencumbered")
+CUE = "licen[cs]e|copyright|spdx|all rights reserved|redistribution|unencumbered|creative commons"
+CUE_STEMS = ("licen", "copyright", "spdx", "all rights reserved", "redistribution", "unencumbered", "creative commons")
 PARAGRAPH = r"\n[ \t\r]*(?:[*#/;-]+[ \t\r]*)?(?=\n)"
 SENTENCE = r"\n|(?<=[.;])\s+(?=[A-Z])"
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]+)"
