@@ -127,3 +127,49 @@ def least_absolute(a: np.ndarray, b: np.ndarray, rounds: int = 500, rho: float =
         z = np.sign(v) * np.maximum(np.abs(v) - 1 / rho, 0)
         u = u + a @ x - b - z
     return x
+
+
+def constrained_path(cov: np.ndarray, column: int, least: float = 0.0, tolerance: float = 1e-10) -> list[tuple[float, np.ndarray]]:
+    """min |beta|_1 subject to |S beta - e|_inf <= penalty for every penalty from 1 down to `least`: the corners (penalty, beta) of the path,
+    which is linear in between. By the parametric simplex method: beta = 0 is optimal at 1; each pivot takes out the first variable that would turn
+    negative as the penalty falls and keeps the costs optimal. Ties go to the first variable. The path ends early where no beta fits any more."""
+    p = len(cov)
+    e = np.zeros(p)
+    e[column] = 1.0
+    table = np.hstack([np.vstack([np.hstack([cov, -cov]), np.hstack([-cov, cov])]), np.eye(2 * p)])
+    fixed, slope = np.concatenate([e, -e]), np.ones(2 * p)  # a basic variable is fixed + penalty * slope
+    cost = np.concatenate([np.ones(2 * p), np.zeros(2 * p)])
+    basis = np.arange(2 * p, 4 * p)
+
+    def beta(penalty: float) -> np.ndarray:
+        values = np.zeros(4 * p)
+        values[basis] = fixed + penalty * slope
+        return values[:p] - values[p : 2 * p]
+
+    path = [(1.0, np.zeros(p))]
+    for _ in range(1000 * p):
+        falls = np.full(2 * p, -np.inf)
+        falls[slope > tolerance] = -fixed[slope > tolerance] / slope[slope > tolerance]
+        corner = falls.max()
+        if corner <= least:
+            path.append((least, beta(least)))
+            return path
+        first = np.where(falls >= corner - tolerance)[0]
+        row = first[basis[first].argmin()]
+        if corner < path[-1][0] - tolerance:
+            path.append((float(corner), beta(corner)))
+        able = np.where(table[row] < -tolerance)[0]
+        if not len(able):
+            return path
+        ratio = cost[able] / -table[row, able]
+        enters = able[np.where(ratio <= ratio.min() + tolerance)[0][0]]
+        scale = table[row, enters]
+        table[row] /= scale
+        fixed[row], slope[row] = fixed[row] / scale, slope[row] / scale
+        other = table[:, enters].copy()
+        other[row] = 0.0
+        table -= np.outer(other, table[row])
+        fixed, slope = fixed - other * fixed[row], slope - other * slope[row]
+        cost = cost - cost[enters] * table[row]
+        basis[row] = enters
+    raise RuntimeError("the pivots go round in circles")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.catalog import query
 from graphloom.functions import arrays
 from graphloom.kernels import networks, regression
-from graphloom.operators import diffusion, graphs, learning, partitioned, selection, series, solvers, tabular
+from graphloom.operators import diffusion, graphs, learning, partitioned, precision, selection, series, solvers, tabular
 from graphloom.plans import experiments
 from graphloom.plans.state import settled
 from graphloom.sources import observations as weather
@@ -817,6 +817,27 @@ def clime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(settled(selection.covariance(hours(spark, sf_dir)))).groupBy("share").applyInPandas(work, "target string, node string, beta double")
 
 
+@query()
+def clime_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corners of each day's sparse precision columns over the penalties down to a tenth."""
+    return precision.constrained_paths(grams(spark, sf_dir), 0.1)
+
+
+@query()
+def clime_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of series joined in some day's precision at a penalty of 0.2, and in how many days."""
+    paths = settled(precision.constrained_paths(grams(spark, sf_dir), 0.1))
+    return precision.united_edges(precision.columns_at(paths, 0.2))
+
+
+@query()
+def events_spectral_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How strongly pairs of series hang together over all frequencies, others given: from the events' own smoothed spectrum."""
+    pairs, frequencies = spectrum(spark, sf_dir)
+    smooth = series.smoothed_spectrum(pairs, [1.0, 2.0, 3.0, 2.0, 1.0], frequencies, 8)
+    return precision.spectral_strengths(precision.spectral_lasso(precision.unit_power(smooth), 0.1, width=512)).select("i", "j", six("strength").alias("strength"))
+
+
 @query()
 def spectral_glasso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.spectral_rates(spark, [0.1, 1.0, 10.0], 4).select("penalty", six("detection").alias("detection"), six("false_alarms").alias("false_alarms"), six("success").alias("success"))
