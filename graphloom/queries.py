@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.catalog import query
 from graphloom.functions import arrays
 from graphloom.kernels import networks, regression
-from graphloom.operators import diffusion, graphs, learning, partitioned, precision, selection, series, solvers, tabular
+from graphloom.operators import diffusion, graphs, learning, partitioned, precision, selection, series, solvers, subsets, tabular
 from graphloom.plans import experiments
 from graphloom.plans.state import settled
 from graphloom.sources import observations as weather
@@ -817,6 +817,15 @@ def clime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(settled(selection.covariance(hours(spark, sf_dir)))).groupBy("share").applyInPandas(work, "target string, node string, beta double")
 
 
+@query()
+def node_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best neighbourhood of every size, up to all nine others, of each kind of event of users with even and odd ids."""
+    kinds = read(spark, sf_dir, "events").withColumn("kind", F.concat_ws("/", "event_type", (F.col("user_id") % 2).cast("string")))
+    hourly = series.hourly_counts(kinds, kind="kind")
+    blocks = settled(selection.gram(series.centred(series.blocked(series.difference(hourly, 24), 24))))
+    return subsets.best_subsets(blocks, 9).select("target", "card", "members", six("energy").alias("energy"))
+
+
 @query()
 def clime_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corners of each day's sparse precision columns over the penalties down to a tenth."""
