@@ -5,14 +5,16 @@ observed property's address names the values."""
 
 from __future__ import annotations
 
+import time
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 def _text(xml: Column, name: str) -> Column:
@@ -74,6 +76,27 @@ class DayWindow(InputPartition):
         self.start, self.end = start, end
 
 
+def fetched(url: str, tries: int = 4, wait: float = 1.0) -> str:
+    """The reply at an address. Errors of the server or the network are tried again after a wait that doubles; refused requests raise at once."""
+    for attempt in range(tries):
+        try:
+            with urllib.request.urlopen(url, timeout=60) as reply:
+                return reply.read().decode("utf-8")
+        except urllib.error.HTTPError as error:
+            if error.code < 500 and error.code != 429 or attempt == tries - 1:
+                raise
+        except OSError:
+            if attempt == tries - 1:
+                raise
+        time.sleep(wait * 2**attempt)
+    raise ValueError("at least one try is needed")
+
+
+def _reply(options: dict, partition: DayWindow) -> Iterator[tuple]:
+    url = request_url(options["url"], options.get("query", ""), options.get("bbox", ""), partition.start, partition.end)
+    yield (partition.start.isoformat(), fetched(url, int(options.get("tries", 4)), float(options.get("wait", 1.0))))
+
+
 class CoverageReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
@@ -83,13 +106,38 @@ class CoverageReader(DataSourceReader):
         return [DayWindow(a, b) for a, b in day_windows(read("start"), read("end"))]
 
     def read(self, partition: DayWindow) -> Iterator[tuple]:
-        url = request_url(self.options["url"], self.options.get("query", ""), self.options.get("bbox", ""), partition.start, partition.end)
-        with urllib.request.urlopen(url, timeout=60) as reply:
-            yield (partition.start.isoformat(), reply.read().decode("utf-8"))
+        return _reply(self.options, partition)
+
+
+class CoverageStreamReader(DataSourceStreamReader):
+    """Whole days from `start` on as they pass; an offset is the first moment not read. A batch's windows follow from its two offsets alone, so a
+    batch that is run again makes the same requests. Days end `settle` hours late, when their observations are in; with `end`, the
+    stream goes up to there and its last window may be shorter."""
+
+    def __init__(self, options: dict) -> None:
+        self.options = options
+        self.start = datetime.fromisoformat(options["start"])
+
+    def initialOffset(self) -> dict:
+        return {"until": self.start.isoformat()}
+
+    def latestOffset(self) -> dict:
+        passed = datetime.now(UTC).replace(tzinfo=self.start.tzinfo) - timedelta(hours=float(self.options.get("settle", 0)))
+        end = self.options.get("end")
+        if end and datetime.fromisoformat(end) <= passed:
+            return {"until": max(self.start, datetime.fromisoformat(end)).isoformat()}
+        return {"until": (self.start + max(passed - self.start, timedelta(0)) // timedelta(days=1) * timedelta(days=1)).isoformat()}
+
+    def partitions(self, start: dict, end: dict) -> list[DayWindow]:
+        return [DayWindow(a, b) for a, b in day_windows(datetime.fromisoformat(start["until"]), datetime.fromisoformat(end["until"]))]
+
+    def read(self, partition: DayWindow) -> Iterator[tuple]:
+        return _reply(self.options, partition)
 
 
 class CoverageSource(DataSource):
-    """spark.dataSource.register(CoverageSource); spark.read.format("coverage").option("url", ...).option("start", "2020-01-01")..."""
+    """spark.dataSource.register(CoverageSource); spark.read.format("coverage").option("url", ...).option("start", "2020-01-01")..., or
+    spark.readStream with the same options. tries and wait (seconds) say how often and after what a failed request is made again."""
 
     @classmethod
     def name(cls) -> str:
@@ -100,3 +148,6 @@ class CoverageSource(DataSource):
 
     def reader(self, schema) -> CoverageReader:
         return CoverageReader(dict(self.options))
+
+    def streamReader(self, schema) -> CoverageStreamReader:
+        return CoverageStreamReader(dict(self.options))
