@@ -126,8 +126,12 @@ def rule_index(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> Data
     sound = F.forall("tokens", lambda t: t.rlike("^[a-z0-9]+$")) & (F.size("tokens") > 0)
     checked = rules.withColumn("tokens", F.when(sound, F.col("tokens")).otherwise(F.raise_error(F.concat(F.lit("rule without literal tokens of letters and digits: "), "name"))))
     wanted = checked.select("name", "pattern", F.explode("tokens").alias("token"))
-    held = _token_join(pages.select(F.explode(url_tokens(F.col(url_col))).alias("token")), wanted.select("token").distinct())
-    counts = held.groupBy("token").agg(F.count("*").alias("n"))
+    asked = wanted.select("token").distinct()
+    tokens = pages.select(F.explode(url_tokens(F.col(url_col))).alias("token"))
+    if asked.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+        counts = tokens.join(F.broadcast(asked), "token").groupBy("token").agg(F.count("*").alias("n"))
+    else:  # counted before they meet, so that a token of most URLs is one row a task
+        counts = tokens.groupBy("token").agg(F.count("*").alias("n")).join(asked, "token")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))
     return wanted.join(counts, "token", "left").groupBy("name", "pattern").agg(rarest.alias("r")).select("r.token", "name", "pattern")
 
