@@ -4,6 +4,8 @@ Doubles are rounded to six decimals on both sides, and + 0.0 turns a negative ze
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +16,10 @@ from graphloom.functions import arrays
 from graphloom.kernels import networks, regression
 from graphloom.operators import diffusion, graphs, learning, partitioned, precision, selection, series, solvers, subsets, tabular
 from graphloom.plans import experiments
-from graphloom.plans.state import settled
+from graphloom.plans.state import settled, shared_dir
 from graphloom.sources import observations as weather
 from graphloom.sources import tables
+from graphloom.streaming import events as streams
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -817,6 +820,22 @@ def clime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(settled(selection.covariance(hours(spark, sf_dir)))).groupBy("share").applyInPandas(work, "target string, node string, beta double")
 
 
+@query("""
+SELECT date_trunc('hour', ts) AS hour, event_type AS series, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY 1, 2
+""")
+def hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events read as a stream: hourly windows as they close, two hours behind the latest event, written to a table. The last hours stay open."""
+    schema = read(spark, sf_dir, "events").schema
+    folder = f"{shared_dir(spark)}/hourly-{uuid.uuid4().hex}"
+    # a pattern, as a stream takes a plain path for a directory and the table may be one file
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    windows = streams.hourly(events).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    running = windows.writeStream.format("parquet").option("path", f"{folder}/windows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(windows.schema).parquet(f"{folder}/windows").select("hour", "series", "n", six("total").alias("total"))
+
+
 @query()
 def node_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best neighbourhood of every size, up to all nine others, of each kind of event of users with even and odd ids."""
