@@ -3,7 +3,9 @@
 The graph is cut once. Nodes in the order of a locality key make parts of equal size; a part also holds its halo, the nodes up to s edges
 away, and all edges between its nodes, so it can take s steps by itself whose results for its own nodes are exact. Then it sends others
 what they have of its own: weights and flows of their halos, nothing else moves. s is the largest depth whose halos are together no larger than
-the graph. Parts and states are tables bucketed by part: a round joins them without a shuffle and shuffles the border values alone.
+the graph; where halos end before it, parts hold whole components and take as many steps as a single part would. Parts and states are tables
+bucketed by part: a round merges them where they are, without a shuffle or a broadcast, which would pass through the driver in every round, and
+shuffles the border values alone.
 
 After a round, each part adds up its share of two duality gaps, that of the running averages and that of the last weights and flows, which
 is often far smaller; the loop ends when one of them is small against the loss of zero weights, and that solution is the result. With a(w) = sum of the losses and lambda = primal bound, the iteration minimises a(w) + lambda sum |w_u - w_v|; for flows y with
@@ -36,7 +38,7 @@ OUT = "part long, kind int, other long, bytes binary, shares array<double>"
 class Parts:
     nodes: int = 20_000  #: of its own a part has
     deepest: int = 16  #: edges that a halo reaches at most
-    alone: int = 100  #: steps of a round if the graph is a single part
+    alone: int = 100  #: steps of a round if the graph is a single part, or no component reaches beyond its halo
 
 
 @dataclass
@@ -46,6 +48,7 @@ class Progress:
     parts: int = 0
     depth: int = 0
     halo: int = 0  #: copies of nodes in halos
+    closed: bool = False  #: whether no component reaches beyond its halo
     objective: float = float("nan")
     gap: float = float("nan")
     averaged: bool = True  #: whether the averages are the result, or the last weights
@@ -69,10 +72,11 @@ def by_features(nodes: DataFrame, dimension: int) -> Column:
     return zorder("feature", values[::2], values[1::2])
 
 
-def regression(nodes: DataFrame, edges: DataFrame, problem: Regression, dimension: int, most: int = 10_000, tolerance: float = 1e-3, order: Column | None = None, parts: Parts = Parts(), progress: Progress | None = None) -> DataFrame:
+def regression(nodes: DataFrame, edges: DataFrame, problem: Regression, dimension: int, most: int = 10_000, tolerance: float = 1e-3, order: Column | None = None, parts: Parts = Parts(), progress: Progress | None = None, balanced: bool = False) -> DataFrame:
     """(nid, weights, predicted) of nodes (nid, feature, label, is_labeled) and edges (src, dst): after the steps that bring a duality gap to
     tolerance times the loss of zero weights, the solution with that gap; if `most` steps don't, the running averages. progress is told how
-    it went."""
+    it went. balanced: a squared loss, which has a weight of one over the number of labels, is met with steps of weights as many times longer and steps
+    of flows as many times shorter; their product and the minimum stay, and the steps needed no longer grow with the number of labels."""
     spark = nodes.sparkSession
     ship_package(spark)
     progress = Progress() if progress is None else progress
@@ -84,8 +88,8 @@ def regression(nodes: DataFrame, edges: DataFrame, problem: Regression, dimensio
     if not count:
         return spark.createDataFrame([], "nid long, weights array<double>, predicted double")
     progress.parts = -(-count // parts.nodes)
-    graph, progress.depth, progress.halo = _cut(nodes, edges, dimension, by_features(nodes, dimension) if order is None else order, parts, progress.parts)
-    steps = progress.depth if progress.parts > 1 else parts.alone
+    graph, progress.depth, progress.halo, progress.closed = _cut(nodes, edges, dimension, by_features(nodes, dimension) if order is None else order, parts, progress.parts)
+    ratio = max(problem.variance * labelled, 1.0) if balanced and problem.loss == "squared" else 1.0
 
     def bucketed(df: DataFrame, name: str) -> str:
         df.write.bucketBy(progress.parts, "part").option("path", f"{folder}/{name}").saveAsTable(f"{base}_{name}")
@@ -106,9 +110,10 @@ def regression(nodes: DataFrame, edges: DataFrame, problem: Regression, dimensio
             told = spark.table(state)
             mail = told.where(F.col("kind") == MESSAGE).select(F.col("other").alias("part"), F.struct(F.col("part").alias("sender"), "bytes").alias("m"))
             inbox = mail.repartition(progress.parts, "part").groupBy("part").agg(F.collect_list("m").alias("inbox"))  # an entry a neighbouring part
-            joined = now.join(told.where(F.col("kind") == STATE).select("part", F.col("bytes").alias("state")), "part").join(inbox, "part", "left")
+            joined = now.join(told.where(F.col("kind") == STATE).select("part", F.col("bytes").alias("state")).hint("merge"), "part").join(inbox.hint("merge"), "part", "left")
+        steps = progress.depth if not progress.closed else parts.alone if progress.parts == 1 else min(parts.alone, 100 << min(progress.rounds, 20))
         take = min(steps, most - progress.steps)
-        moved = joined.select("part", "graph", "state", "inbox").mapInArrow(lambda batches, take=take: _steps(batches, problem, labelled, take), OUT)
+        moved = joined.select("part", "graph", "state", "inbox").mapInArrow(lambda batches, take=take: _steps(batches, problem, labelled, take, ratio), OUT)
         before, state = state, bucketed(moved, f"round{progress.rounds}")
         if before:  # the shares tell of the state that the round began with
             names = [f"s{k}" for k in range(8)]
@@ -125,32 +130,33 @@ def regression(nodes: DataFrame, edges: DataFrame, problem: Regression, dimensio
         if not take:
             break
         progress.steps, progress.rounds = progress.steps + take, progress.rounds + 1
-    last = spark.table(fixed).join(spark.table(state).where(F.col("kind") == STATE).select("part", F.col("bytes").alias("state")), "part")
+    last = spark.table(fixed).join(spark.table(state).where(F.col("kind") == STATE).select("part", F.col("bytes").alias("state")).hint("merge"), "part")
     result = settled(last.mapInArrow(lambda batches, averaged=progress.averaged: _results(batches, averaged), "nid long, weights array<double>, predicted double"))
     dropped(state)
     dropped(fixed)
     return result
 
 
-def _cut(nodes: DataFrame, edges: DataFrame, dimension: int, order: Column, parts: Parts, count: int) -> tuple[DataFrame, int, int]:
-    """(part, graph) with everything a part needs to know, the depth of the halos and their size."""
+def _cut(nodes: DataFrame, edges: DataFrame, dimension: int, order: Column, parts: Parts, count: int) -> tuple[DataFrame, int, int, bool]:
+    """(part, graph) with everything a part needs to know, the depth of the halos, their size, and whether nothing lies beyond them."""
     sized = degrees(nodes.select("nid", "feature", F.coalesce("label", F.lit(0.0)).alias("label"), "is_labeled", order.alias("_order")), edges)
     placed = with_rank(sized.select("nid", "feature", "label", "is_labeled", "gamma", "_order"), [F.asc("_order"), F.asc("nid")], "place")
     home = settled(placed.withColumn("owner", F.floor((F.col("place") - 1) / parts.nodes).cast("long")).drop("place", "_order"))
     links = settled(edges.select("src", "dst").where("src <> dst"))
     both = ends(links.withColumn("w", F.lit(1.0))).select("nid", "other")
     inside = home.select(F.col("owner").alias("part"), "nid", F.lit(0).alias("far"))
-    depth, total, budget = 0, 0, home.count()
+    depth, total, budget, closed = 0, 0, home.count(), count == 1
     held = settled(inside)
     while count > 1 and depth < parts.deepest:
         rim = held.where(F.col("far") == depth).join(both, "nid").select("part", F.col("other").alias("nid")).distinct()
         fresh = settled(rim.join(held, ["part", "nid"], "left_anti").withColumn("far", F.lit(depth + 1)))
         size = fresh.count()
-        if depth and (total + size > budget or not size):
-            break
-        depth, total, held = depth + 1, total + size, settled(held.unionByName(fresh))
         if not size:
+            depth, closed = max(depth, 1), True
             break
+        if depth and total + size > budget:
+            break
+        depth, total, held = depth + 1, total + size, settled(held.unionByName(fresh))
     local = held.join(home, "nid")
     a = held.select("part", F.col("nid").alias("src"))
     b = held.select("part", F.col("nid").alias("dst"))
@@ -166,7 +172,7 @@ def _cut(nodes: DataFrame, edges: DataFrame, dimension: int, order: Column, part
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": [key[0]], "graph": [pickle.dumps(_Local.of(int(key[0]), pdf, dimension))]})
 
-    return rows.groupBy("part").applyInPandas(pack, "part long, graph binary"), depth, total
+    return rows.groupBy("part").applyInPandas(pack, "part long, graph binary"), depth, total, closed
 
 
 @dataclass
@@ -223,7 +229,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[_Local, _State | None, list]]
         yield pickle.loads(graph), pickle.loads(state) if state else None, inboxes[at] or []
 
 
-def _steps(batches: Iterator[pa.RecordBatch], problem: Regression, labelled: int, steps: int) -> Iterator[pa.RecordBatch]:
+def _steps(batches: Iterator[pa.RecordBatch], problem: Regression, labelled: int, steps: int, ratio: float = 1.0) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for g, s, inbox in _rows(batch):
             n, d = g.feature.shape
@@ -237,7 +243,7 @@ def _steps(batches: Iterator[pa.RecordBatch], problem: Regression, labelled: int
                     k = len(nodes)
                     s.w[nodes], s.prev[nodes], s.average[nodes], s.y[lines] = v[:k], v[k : 2 * k], v[2 * k : 3 * k], v[3 * k :]
                 out.append((g.part, SHARE, None, None, _gap_shares(g, s.average, s.flow, problem, labelled) + _gap_shares(g, s.w, s.y, problem, labelled)))
-            _advance(g, s, problem, labelled, steps)
+            _advance(g, s, problem, labelled, steps, ratio)
             out.append((g.part, STATE, None, pickle.dumps(s), None))
             for to, (nodes, lines) in g.give.items():
                 out.append((g.part, MESSAGE, to, np.concatenate([s.w[nodes], s.prev[nodes], s.average[nodes], s.y[lines]]).tobytes(), None))
@@ -249,18 +255,19 @@ def _divergence(g: _Local, y: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(g.src, y[:, k], len(g.nids)) - np.bincount(g.dst, y[:, k], len(g.nids)) for k in range(y.shape[1])], axis=1)
 
 
-def _advance(g: _Local, s: _State, problem: Regression, labelled: int, steps: int) -> None:
+def _advance(g: _Local, s: _State, problem: Regression, labelled: int, steps: int, ratio: float = 1.0) -> None:
     """Steps on the part and its halo; what is further from the own nodes than the steps left is wrong and never read."""
     at = np.flatnonzero(g.seeds)
-    f, t, gamma = g.feature[at], g.label[at], g.gamma[at]
+    primal = g.gamma * ratio
+    f, t, gamma = g.feature[at], g.label[at], primal[at]
     size = np.maximum((f * f).sum(axis=1), 1e-300)
     for _ in range(steps):
         s.step += 1
         ahead = 2 * s.w - s.prev
-        y = s.y + problem.dual * 0.5 * (ahead[g.src] - ahead[g.dst])
+        y = s.y + problem.dual / ratio * 0.5 * (ahead[g.src] - ahead[g.dst])
         y *= np.minimum(1, problem.bound / np.maximum(np.linalg.norm(y, axis=1), 1e-300))[:, None]
         s.y, s.prev = y, s.w
-        w = s.w - problem.primal * g.gamma[:, None] * _divergence(g, y)
+        w = s.w - problem.primal * primal[:, None] * _divergence(g, y)
         along = (f * w[at]).sum(axis=1)
         if problem.loss == "squared":
             move = (t - along) / (problem.variance * labelled / (2 * np.maximum(gamma, 1e-300)) + size)

@@ -593,7 +593,7 @@ def user_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def converged(users: DataFrame, edges: DataFrame, problem: learning.Regression) -> DataFrame:
     """Until the duality gap is a thousandth of the loss of zero weights, ten times the surveyed scripts' 10,000 steps at most."""
-    return partitioned.regression(users.drop("graph_id"), edges.drop("graph_id"), problem, 3, 100_000, 1e-3, parts=partitioned.Parts(alone=10_000))
+    return partitioned.regression(users.drop("graph_id"), edges.drop("graph_id"), problem, 3, 100_000, 1e-3, parts=partitioned.Parts(alone=10_000), balanced=True)
 
 
 def _regression(spark: SparkSession, sf_dir: str, problem: learning.Regression) -> DataFrame:

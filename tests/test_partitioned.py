@@ -116,3 +116,44 @@ def test_queries_against_the_kernel(spark, name, problem):
     here = objective(arrays, np.array([r.weights for r in got]), problem)
     best = min(objective(arrays, learning.regress(*arrays, problem, k), problem) for k in (10_000, 100_000))
     assert here - best <= 1e-3 * objective(arrays, np.zeros((len(rows), 3)), problem)
+
+
+def test_whole_components_take_many_steps(spark):
+    """Rings of four nodes in parts of 25, some cut by a border: halos hold the rest of them, so one round takes all steps."""
+    g = np.random.default_rng(2)
+    x, label = g.uniform(0.2, 1.0, (100, 3)), g.standard_normal(100)
+    src, dst = np.array([(min(a, b), max(a, b)) for r in range(0, 100, 4) for a, b in ((r, r + 1), (r + 1, r + 2), (r + 2, r + 3), (r, r + 3))]).T
+    seeds = np.arange(100) % 3 == 0
+    nodes = spark.createDataFrame([(i, x[i].tolist(), float(label[i]), bool(seeds[i])) for i in range(100)], "nid long, feature array<double>, label double, is_labeled boolean")
+    edges = spark.createDataFrame([(int(a), int(b), 1.0) for a, b in zip(src, dst)], "src long, dst long, w double")
+    progress = partitioned.Progress()
+    got = partitioned.regression(nodes, edges, PROBLEMS[1], 3, 60, 0.0, order=F.col("nid"), parts=partitioned.Parts(22, alone=60), progress=progress)
+    assert progress.parts == 5 and progress.closed and progress.rounds == 1 and progress.steps == 60
+    assert np.abs(weights_of(got) - learning.regress(src, dst, x, label, seeds, PROBLEMS[1], 60)).max() < 1e-12
+
+
+def test_rounds_do_not_broadcast(spark, monkeypatch):
+    """Broadcasts go through the driver, and there can be thousands of rounds."""
+    plans = []
+    original = type(spark.range(1)).mapInArrow
+
+    def told(df, *args, **kwargs):
+        if "inbox" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return original(df, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", told)
+    (nodes, edges), _ = random_graph(spark)
+    partitioned.regression(nodes, edges, PROBLEMS[0], 3, 6, 0.0, parts=partitioned.Parts(40, 2))
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_balanced_steps_do_not_grow_with_labels(spark):
+    """Copies of a pair of labelled nodes: 4,000 labels, and a few hundred steps bring the gap that 100,000 plain ones would need."""
+    n = 4000
+    nodes = spark.range(n).selectExpr("id as nid", "array(0.5D + id % 2, 1D, 0.5D) as feature", "1D + id % 2 as label", "true as is_labeled")
+    edges = spark.range(n).where("id % 2 = 0").selectExpr("id as src", "id + 1 as dst", "1D as w")
+    progress = partitioned.Progress()
+    got = partitioned.regression(nodes, edges, PROBLEMS[0], 3, 2000, 1e-3, order=F.col("nid"), parts=partitioned.Parts(1500), progress=progress, balanced=True)
+    assert progress.closed and progress.steps <= 1500 and progress.gap <= 1e-3 * 2.5
+    assert got.count() == n and got.where("abs(predicted - 1.0 - nid % 2) > 0.1").isEmpty()
