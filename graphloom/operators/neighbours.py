@@ -9,6 +9,7 @@ candidates, four times as many a round, until none is within reach."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +25,8 @@ from graphloom.plans.joins import spread_join
 from graphloom.plans.state import settled, ship_package
 
 FAN = 8  #: children of a node of the tree
-BROADCAST_BYTES = 64 << 20  #: vectors up to this size are broadcast to the pairs, larger ones are joined to them
+TILE_BYTES = 8 << 20  #: vectors on a side of a tile, unless a single block has more
+BROADCAST_BYTES = 8 << 20  #: of ids and lists, or of repeated vectors, that may be broadcast at the end
 FOUND = "nid long, other long, d2 double"
 
 
@@ -60,10 +62,11 @@ def nearest(vectors: DataFrame, k: int, node: str = "vec_id", vector: str = "emb
     told = points.select(F.col("rep").alias("other"), F.explode("ids").alias("id"))
     near = between.join(told, "other").select("rep", "d2", "id").unionByName(points.select("rep", F.lit(0.0).alias("d2"), F.explode("ids").alias("id")))
     lists = near.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "id"))), 1, k + 1).alias("near"))  # (k + 1)^2 entries at most
+    few = max(1, BROADCAST_BYTES // (8 * max(len(own.select("v").first()["v"]), 4 * (k + 1))))  # rows, so that wide ones stay off the driver too
     alone = own.select("nid").join(points.where(F.size("ids") == 1).select(F.col("rep").alias("nid")), "nid", "left_semi").select("nid", F.col("nid").alias("rep"))
     shared = points.where(F.size("ids") > 1).select("v", "rep")
-    members = alone if shared.isEmpty() else alone.unionByName(spread_join(own, shared, "v", "nid").select("nid", "rep"))
-    listed = spread_join(members, lists, "rep", "nid")
+    members = alone if shared.isEmpty() else alone.unionByName(spread_join(own, shared, "v", "nid", broadcast_rows=few).select("nid", "rep"))
+    listed = spread_join(members, lists, "rep", "nid", broadcast_rows=few)
     mine = F.slice(F.filter("near", lambda x: x["id"] != F.col("nid")), 1, k)
     rows = listed.select("nid", F.posexplode(mine).alias("at", "x"))
     return rows.select("nid", F.col("x.id").alias("other"), F.col("x.d2").alias("d2"), (F.col("at") + 1).alias("rank"))
@@ -73,17 +76,18 @@ def _between_points(points: DataFrame, k: int, block: int, digits: int, pivots:
     """(rep, other, d2) of the k nearest other points."""
     packed = settled(_packed(points, block, pivots, kind))
     work.blocks = packed.count()
-    size = packed.agg(F.sum(F.length("m"))).first()[0]
+    largest = packed.agg(F.max(F.length("m"))).first()[0]
     home = packed.select("block", "reps")
-    dealt = 4 * points.sparkSession.sparkContext.defaultParallelism  # a number, as pairs are small rows that mean much work
+    dealt = 4 * points.sparkSession.sparkContext.defaultParallelism  # a number, as tiles are small rows that mean much work
+    side = max(1, min(TILE_BYTES // max(largest, 1), math.ceil(work.blocks / math.sqrt(dealt))))  # blocks on a side of a tile
     reach_of = F.sqrt(F.col("worst") + F.lit(2 * 10.0**-digits)) * (1 + 1e-9) + 1e-9  # rounding can't hide a neighbour
 
     def met(pairs: DataFrame) -> DataFrame:
-        a, b = (packed.select(F.col("block").alias(x), F.col("reps").alias(f"{x}_ids"), F.col("m").alias(f"{x}_m")) for x in "ab")
-        if size <= BROADCAST_BYTES:
-            a, b = F.broadcast(a), F.broadcast(b)
-        rows = pairs.repartition(dealt, "a", "b").join(a, "a").join(b, "b").select("a_ids", "a_m", "b_ids", "b_m", "worst")
-        return rows.mapInArrow(lambda batches: _compared(batches, k, digits, kind), FOUND)
+        """Pairs meet in tiles: a tile gets its blocks once, by a shuffle, however many of its pairs meet, and nothing passes through the driver."""
+        placed = pairs.withColumn("ta", F.floor(F.col("a") / side)).withColumn("tb", F.floor(F.col("b") / side)).repartition(dealt, "ta", "tb")
+        needed = placed.select(F.col("ta").alias("ha"), F.col("tb").alias("hb"), F.explode(F.array("a", "b")).alias("block")).distinct()
+        held = needed.join(packed.select("block", "reps", "m").hint("shuffle_hash"), "block").repartition(dealt, "ha", "hb")
+        return placed.groupBy("ta", "tb").cogroup(held.groupBy("ha", "hb")).applyInArrow(lambda p, h: _compared(p, h, k, digits, kind), FOUND)
 
     def kept(found: DataFrame) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("nid").orderBy("d2", "other"))
@@ -177,12 +181,34 @@ def _descended(bounds: DataFrame, reach: DataFrame, blocks: int) -> DataFrame:
     return pairs
 
 
-def _compared(batches: Iterator[pa.RecordBatch], k: int, digits: int, kind: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            (a, am), (b, bm) = ((np.asarray(batch.column(f"{x}_ids")[row].values), np.frombuffer(batch.column(f"{x}_m")[row].as_buffer(), kind)) for x in "ab")
-            rows = closest(a, am.reshape(len(a), -1).astype(float), b, bm.reshape(len(b), -1).astype(float), k, digits, batch.column("worst")[row].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["nid", "other", "d2"])
+def _compared(pairs: pa.Table, held: pa.Table, k: int, digits: int, kind: str) -> pa.Table:
+    """The nearest of each pair of a tile, from the blocks that the tile holds; k of a point are kept."""
+    at = {b: i for i, b in enumerate(held.column("block").to_pylist())}
+    reps, vectors = held.column("reps").combine_chunks(), held.column("m").combine_chunks()
+
+    def block(b: int) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.asarray(reps[at[b]].values)
+        return ids, np.frombuffer(vectors[at[b]].as_buffer(), kind).reshape(len(ids), -1).astype(float)
+
+    found, last, left = [], None, None
+    for a, b, worst in sorted(zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "worst")), strict=True)):
+        if a != last:
+            last, left, mine = a, block(a), []
+            found.append(mine)
+        mine.append(closest(*left, *block(b), k, digits, worst))
+        if len(mine) == 8:
+            mine[:] = [_least(mine, k)]
+    rows = [_least(mine, k) for mine in found]
+    return pa.table({name: np.concatenate([r[i] for r in rows]) for i, name in enumerate(("nid", "other", "d2"))})
+
+
+def _least(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """k rows (nid, other, d2) of a point, the nearest by distance and id."""
+    nid, other, d2 = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.lexsort((other, d2, nid))
+    nid, other, d2 = nid[order], other[order], d2[order]
+    keep = np.arange(len(nid)) - np.searchsorted(nid, nid) < k
+    return nid[keep], other[keep], d2[keep]
 
 
 def closest(a: np.ndarray, q: np.ndarray, b: np.ndarray, m: np.ndarray, k: int, digits: int, worst: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -78,3 +78,17 @@ def test_work_on_clusters_is_below_quadratic(spark):
         met.append(work.met)
         assert work.skipped > 0.6
     assert met[1] < 6 * met[0]
+
+
+def test_vectors_stay_off_the_driver(spark, monkeypatch):
+    """Blocks meet in tiles of several sizes by a shuffle; no broadcast holds vectors."""
+    rng = np.random.default_rng(6)
+    x = rng.uniform(size=(400, 16))
+    plans = []
+    settled = neighbours.settled
+    monkeypatch.setattr(neighbours, "settled", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or settled(df))
+    for size in (1, 5000, 1 << 20):
+        monkeypatch.setattr(neighbours, "TILE_BYTES", size)
+        assert rows_of(neighbours.nearest(frame(spark, np.arange(400), x), 3, block=32, pivots=4)) == brute(np.arange(400), x, 3)
+    met = [p for p in plans if "FlatMapCoGroupsInArrow" in p]
+    assert met and not any("strategy=broadcast" in p for p in met)
