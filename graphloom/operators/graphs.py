@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from graphloom.functions.arrays import dot, gaussian_weight, hash_normal, hash_uniform, norm, scaled
 from graphloom.operators.neighbours import nearest  # noqa: F401
 
+DEALS = 8  #: shares of a grid cell's points
+
 
 def node_range(spark: SparkSession, count: int, first: int = 0) -> DataFrame:
     return spark.range(first, first + count).select(F.col("id").alias("nid"))
@@ -105,6 +107,15 @@ def two_clusters(spark: SparkSession, first: int, second: int, degree: float, bo
     return nodes, edges.unionByName(repaired.distinct())
 
 
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two tables joined by grid cells (cx, cy). A cell's points are few bytes and many pairs: the points of a are dealt in turn to DEALS
+    shares of their cell, b goes to each, and the number of tasks is fixed, as by bytes all cells would end in a few."""
+    tasks = max(200, 8 * a.sparkSession.sparkContext.defaultParallelism)
+    left = a.withColumn("_deal", F.pmod(F.xxhash64(*a.columns), F.lit(DEALS))).repartition(tasks, "cx", "cy", "_deal")
+    right = b.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long")))).repartition(tasks, "cx", "cy", "_deal")
+    return left.hint("shuffle_hash").join(right, ["cx", "cy", "_deal"]).drop("_deal")
+
+
 def radius_graph(points: DataFrame, radius: float, x: str = "x", y: str = "y", node: str = "nid") -> DataFrame:
     """Edges between points nearer than the radius, (src, dst, d2). Points meet in grid cells of the radius' size: a cell's points
     go to themselves and half of the cells around, so each pair meets once."""
@@ -112,7 +123,7 @@ def radius_graph(points: DataFrame, radius: float, x: str = "x", y: str = "y", n
     placed = points.select(F.col(node).alias("nid"), F.col(x).alias("x"), F.col(y).alias("y"), cell(x).alias("cx"), cell(y).alias("cy"))
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (0, 1), (1, 1), (1, -1))]))
     sent = placed.select("*", steps.alias("s")).select(F.col("nid").alias("n1"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("cx") + F.col("s.a")).alias("cx"), (F.col("cy") + F.col("s.b")).alias("cy"), (F.abs("s.a") + F.abs("s.b")).alias("far"))
-    met = sent.join(placed, ["cx", "cy"]).where((F.col("far") > 0) | (F.col("n1") < F.col("nid")))
+    met = _met(sent, placed).where((F.col("far") > 0) | (F.col("n1") < F.col("nid")))
     d2 = F.pow(F.col("x1") - F.col("x"), F.lit(2.0)) + F.pow(F.col("y1") - F.col("y"), F.lit(2.0))
     return met.select(F.least("n1", "nid").alias("src"), F.greatest("n1", "nid").alias("dst"), d2.alias("d2")).where(F.col("d2") < radius * radius)
 
@@ -125,7 +136,7 @@ def match_within(left: DataFrame, right: DataFrame, radius: float, lkey: str, rk
     b = right.select(F.col(rkey), F.col(x).alias("x2"), F.col(y).alias("y2"), cell(x).alias("px"), cell(y).alias("py"), around.alias("s"))
     b = b.select(rkey, "x2", "y2", (F.col("px") + F.col("s.a")).alias("cx"), (F.col("py") + F.col("s.b")).alias("cy"))
     d2 = F.pow(F.col("x1") - F.col("x2"), F.lit(2.0)) + F.pow(F.col("y1") - F.col("y2"), F.lit(2.0))
-    return a.join(b, ["cx", "cy"]).select(lkey, rkey, d2.alias("d2")).where(F.col("d2") < radius * radius)
+    return _met(a, b).select(lkey, rkey, d2.alias("d2")).where(F.col("d2") < radius * radius)
 
 
 def symmetric(directed: DataFrame, a: str = "nid", b: str = "other") -> DataFrame:
