@@ -3,7 +3,7 @@
 The graph is cut once. Nodes in the order of a locality key make parts of equal size; a part also holds its halo, the nodes up to s edges
 away, and all edges between its nodes, so it can take s steps by itself whose results for its own nodes are exact. Then it sends others
 what they have of its own: weights and flows of their halos, nothing else moves. s is the largest depth whose halos are together no larger than
-the graph; where halos end before it, parts hold whole components and take as many steps as a single part would. Parts and states are tables
+the graph (`Parts.spread`); where halos end before it, parts hold whole components and take as many steps as a single part would. Parts and states are tables
 bucketed by part: a round merges them where they are, without a shuffle or a broadcast, which would pass through the driver in every round, and
 shuffles the border values alone.
 
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.graphs import degrees, ends
@@ -39,6 +39,7 @@ class Parts:
     nodes: int = 20_000  #: of its own a part has
     deepest: int = 16  #: edges that a halo reaches at most
     alone: int = 100  #: steps of a round if the graph is a single part, or no component reaches beyond its halo
+    spread: int = 1  #: halos hold together at most so many times the graph
 
 
 @dataclass
@@ -54,6 +55,23 @@ class Progress:
     averaged: bool = True  #: whether the averages are the result, or the last weights
 
 
+class Buckets:
+    """Tables bucketed by part, in the shared folder; joins on part merge them where they are."""
+
+    def __init__(self, spark: SparkSession, parts: int) -> None:
+        self.spark, self.parts = spark, parts
+        self.base = f"graphloom_{uuid.uuid4().hex}"
+        self.folder = f"{shared_dir(spark)}/{self.base}"
+
+    def write(self, df: DataFrame, name: str) -> str:
+        df.write.bucketBy(self.parts, "part").option("path", f"{self.folder}/{name}").saveAsTable(f"{self.base}_{name}")
+        return f"{self.base}_{name}"
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        removed(self.spark, f"{self.folder}/{name.removeprefix(self.base + '_')}")
+
+
 def zorder(feature: Column | str, low: list[float], high: list[float], bits: int = 10) -> Column:
     """A locality key: the first three coordinates, scaled to integers, with their bits in turn."""
     out = F.lit(0).cast("long")
@@ -80,8 +98,6 @@ def regression(nodes: DataFrame, edges: DataFrame, problem: Regression, dimensio
     spark = nodes.sparkSession
     ship_package(spark)
     progress = Progress() if progress is None else progress
-    base = f"graphloom_{uuid.uuid4().hex}"
-    folder = f"{shared_dir(spark)}/{base}"
     known = F.when(F.col("is_labeled"), F.coalesce("label", F.lit(0.0)))
     count, labelled, squares, sizes = nodes.agg(F.count("*"), F.count_if("is_labeled"), F.sum(known * known), F.sum(F.abs(known))).first()
     at_zero = (squares or 0.0) / (problem.variance * max(labelled, 1)) if problem.loss == "squared" else sizes or 0.0
@@ -90,15 +106,8 @@ def regression(nodes: DataFrame, edges: DataFrame, problem: Regression, dimensio
     progress.parts = -(-count // parts.nodes)
     graph, progress.depth, progress.halo, progress.closed = _cut(nodes, edges, dimension, by_features(nodes, dimension) if order is None else order, parts, progress.parts)
     ratio = max(problem.variance * labelled, 1.0) if balanced and problem.loss == "squared" else 1.0
-
-    def bucketed(df: DataFrame, name: str) -> str:
-        df.write.bucketBy(progress.parts, "part").option("path", f"{folder}/{name}").saveAsTable(f"{base}_{name}")
-        return f"{base}_{name}"
-
-    def dropped(name: str) -> None:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        removed(spark, f"{folder}/{name.removeprefix(base + '_')}")
-
+    tables = Buckets(spark, progress.parts)
+    bucketed, dropped = tables.write, tables.drop
     fixed = bucketed(graph.repartition(progress.parts, "part"), "graph")
     begin = F.lit(None).cast("binary")
     state = None
@@ -140,12 +149,12 @@ def regression(nodes: DataFrame, edges: DataFrame, problem: Regression, dimensio
 def _cut(nodes: DataFrame, edges: DataFrame, dimension: int, order: Column, parts: Parts, count: int) -> tuple[DataFrame, int, int, bool]:
     """(part, graph) with everything a part needs to know, the depth of the halos, their size, and whether nothing lies beyond them."""
     sized = degrees(nodes.select("nid", "feature", F.coalesce("label", F.lit(0.0)).alias("label"), "is_labeled", order.alias("_order")), edges)
-    placed = with_rank(sized.select("nid", "feature", "label", "is_labeled", "gamma", "_order"), [F.asc("_order"), F.asc("nid")], "place")
+    placed = with_rank(sized.select("nid", "feature", "label", "is_labeled", "gamma", "strength", "_order"), [F.asc("_order"), F.asc("nid")], "place")
     home = settled(placed.withColumn("owner", F.floor((F.col("place") - 1) / parts.nodes).cast("long")).drop("place", "_order"))
-    links = settled(edges.select("src", "dst").where("src <> dst"))
-    both = ends(links.withColumn("w", F.lit(1.0))).select("nid", "other")
+    links = settled(edges.select("src", "dst", "w").where("src <> dst"))
+    both = ends(links).select("nid", "other")
     inside = home.select(F.col("owner").alias("part"), "nid", F.lit(0).alias("far"))
-    depth, total, budget, closed = 0, 0, home.count(), count == 1
+    depth, total, budget, closed = 0, 0, parts.spread * home.count(), count == 1
     held = settled(inside)
     while count > 1 and depth < parts.deepest:
         rim = held.where(F.col("far") == depth).join(both, "nid").select("part", F.col("other").alias("nid")).distinct()
@@ -163,9 +172,10 @@ def _cut(nodes: DataFrame, edges: DataFrame, dimension: int, order: Column, part
     owners = home.select(F.col("nid").alias("src"), "owner")
     lines = links.join(a, "src").join(b, ["part", "dst"]).join(owners, "src")
     nothing = lambda kind: F.lit(None).cast(kind)
-    rows = local.select("part", F.lit(0).alias("kind"), F.col("nid").alias("a"), nothing("long").alias("b"), F.col("owner").alias("other"), "feature", "label", "is_labeled", "gamma")
-    plain = [nothing("array<double>").alias("feature"), nothing("double").alias("label"), nothing("boolean").alias("is_labeled"), nothing("double").alias("gamma")]
-    rows = rows.unionByName(lines.select("part", F.lit(1).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("owner").alias("other"), *plain))
+    rows = local.select("part", F.lit(0).alias("kind"), F.col("nid").alias("a"), nothing("long").alias("b"), F.col("owner").alias("other"), "feature", "label", "is_labeled", "gamma", F.col("strength").alias("w"))
+    unset = [nothing("array<double>").alias("feature"), nothing("double").alias("label"), nothing("boolean").alias("is_labeled"), nothing("double").alias("gamma")]
+    plain = [*unset, nothing("double").alias("w")]
+    rows = rows.unionByName(lines.select("part", F.lit(1).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("owner").alias("other"), *unset, "w"))
     rows = rows.unionByName(local.where("owner <> part").select(F.col("owner").alias("part"), F.lit(2).alias("kind"), F.col("nid").alias("a"), nothing("long").alias("b"), F.col("part").alias("other"), *plain))
     rows = rows.unionByName(lines.where("owner <> part").select(F.col("owner").alias("part"), F.lit(3).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("part").alias("other"), *plain))
 
@@ -191,6 +201,8 @@ class _Local:
     mine: np.ndarray  #: edges whose source is an own node
     give: dict[int, tuple[np.ndarray, np.ndarray]]
     take: dict[int, tuple[np.ndarray, np.ndarray]]
+    w: np.ndarray  #: of the edges
+    strength: np.ndarray  #: of the nodes, with edges that the part doesn't hold
 
     @staticmethod
     def of(part: int, pdf: pd.DataFrame, dimension: int) -> _Local:
@@ -208,7 +220,7 @@ class _Local:
         take = {int(q): (np.flatnonzero(owner_n == q), np.flatnonzero(owner_e == q)) for q in set(owner_n) | set(owner_e) if q != part}
         return _Local(
             part, int((owner_n == part).sum()), n["a"].to_numpy(), np.stack(n["feature"].to_list()).astype(float).reshape(len(n), dimension), n["label"].to_numpy(float), n["is_labeled"].to_numpy(bool),
-            n["gamma"].to_numpy(float), place.reindex(e["a"]).to_numpy(np.int64), place.reindex(e["b"].astype("int64")).to_numpy(np.int64), owner_e == part, give, take,
+            n["gamma"].to_numpy(float), place.reindex(e["a"]).to_numpy(np.int64), place.reindex(e["b"].astype("int64")).to_numpy(np.int64), owner_e == part, give, take, e["w"].to_numpy(float), n["w"].to_numpy(float),
         )
 
 

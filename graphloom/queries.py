@@ -772,7 +772,7 @@ def smooth_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of all users that fit the labelled ones' labels and vary little along the edges."""
     users, edges = (settled(x.drop("graph_id")) for x in user_graph(spark, sf_dir))
     known = users.select("nid", "feature", F.when(F.col("is_labeled"), F.col("label")).alias("label"))
-    weights = solvers.smooth_model(known, edges, 0.1, 3, tolerance=1e-6)
+    weights = solvers.smooth_model(known, edges, 0.1, 3, most=10_000, tolerance=1e-6)  # 500 steps don't do for 90,000 users
     return weights.join(users.select("nid", "feature"), "nid").select("nid", F.transform("weights", lambda w: F.round(w, 6)).alias("weights"), six(arrays.dot("weights", "feature")).alias("predicted"))
 
 

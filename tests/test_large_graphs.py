@@ -111,3 +111,32 @@ def test_smooth_model(spark):
     told = solvers.Solved()
     got = np.array([r.weights for r in solvers.smooth_model(nodes, tables(spark, graph)[1], 0.7, 2, told=told).orderBy("nid").collect()])
     assert np.abs(got - want).max() < 1e-6 and told.steps <= 2 * n + 2 and told.residual <= 1e-8
+
+
+def test_smooth_model_takes_several_steps_a_round(spark, monkeypatch):
+    """Four parts of a ring, two components that lie across parts, one with a single label and one without: the solution, and far fewer tables than steps."""
+    g = np.random.default_rng(8)
+    n = 96
+    x, y = g.uniform(0.2, 1.0, (n, 2)), g.standard_normal(n)
+    pairs = [(i, (i + 1) % 80) for i in range(80)] + [(i, (i + 7) % 80) for i in range(0, 80, 5)] + [(i, i + 1) for i in range(80, 87)] + [(i, i + 1) for i in range(88, 95)]
+    src, dst = np.array(sorted((min(p), max(p)) for p in pairs)).T
+    w = g.integers(1, 4, len(src)).astype(float)
+    known = np.where(np.arange(n) < 80, np.arange(n) % 5 == 0, np.arange(n) == 83)
+    x[:80, 0] = np.arange(80) / 80  # parts are pieces of the ring
+    x[80:, 0] = np.tile([0.1, 0.9], 8)  # and the other components lie in several
+    nodes = spark.createDataFrame([(10 * i, x[i].tolist(), float(y[i]) if known[i] else None) for i in range(n)], "nid long, feature array<double>, label double")
+    edges = spark.createDataFrame([(10 * int(a), 10 * int(b), float(c)) for a, b, c in zip(src, dst, w)], "src long, dst long, w double").repartition(2)
+    written = []
+    write = solvers.Buckets.write
+    monkeypatch.setattr(solvers.Buckets, "write", lambda self, df, name: written.append(name) or write(self, df, name))
+    told = solvers.Solved()
+    got = np.array([r.weights for r in solvers.smooth_model(nodes, edges, 0.3, 2, told=told, parts=solvers.Parts(24, 7, spread=4)).orderBy("nid").collect()])
+    m = np.zeros((len(src), n))
+    m[np.arange(len(src)), src], m[np.arange(len(src)), dst] = np.sqrt(0.3 * w), -np.sqrt(0.3 * w)
+    fit = np.zeros((n, n, 2))
+    fit[np.flatnonzero(known), np.flatnonzero(known)] = x[known]
+    scale = 1 / np.sqrt(np.repeat(0.3 * (np.bincount(src, w, n) + np.bincount(dst, w, n)), 2))
+    rows = np.concatenate([np.kron(m, np.eye(2)), fit.reshape(n, -1)]) * scale
+    want = np.linalg.lstsq(rows, np.concatenate([np.zeros(2 * len(src)), np.where(known, y, 0)]), rcond=1e-10)[0] * scale
+    assert np.abs(got - want.reshape(n, 2)).max() < 1e-6 and told.residual <= 1e-8
+    assert told.steps > 20 and len(written) <= 3 + told.steps / 4
