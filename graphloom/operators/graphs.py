@@ -153,7 +153,7 @@ def ends(edges: DataFrame) -> DataFrame:
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(nid, degree, strength, gamma): edges, their weight, and 1 / degree (0 where isolated)."""
     sums = ends(edges).groupBy("nid").agg(F.count("*").alias("degree"), F.sum("w").alias("strength"))
-    return nodes.join(sums, "nid", "left").select(*nodes.columns, F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("strength", F.lit(0.0)).alias("strength"), F.coalesce(1.0 / F.col("degree"), F.lit(0.0)).alias("gamma"))
+    return nodes.join(sums.hint("merge"), "nid", "left").select(*nodes.columns, F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("strength", F.lit(0.0)).alias("strength"), F.coalesce(1.0 / F.col("degree"), F.lit(0.0)).alias("gamma"))
 
 
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def laplacian(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def gradient(edges: DataFrame, signal: DataFrame, value: str = "x") -> DataFrame:
     """Edges with the difference of the signal, source less target."""
     a, b = signal.select(F.col("nid").alias("src"), F.col(value).alias("_a")), signal.select(F.col("nid").alias("dst"), F.col(value).alias("_b"))
-    return edges.join(a, "src").join(b, "dst").withColumn("dx", F.col("_a") - F.col("_b")).drop("_a", "_b")
+    return edges.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").withColumn("dx", F.col("_a") - F.col("_b")).drop("_a", "_b")
 
 
 def divergence(edges: DataFrame, flow: str = "y") -> DataFrame:
@@ -187,7 +187,7 @@ def total_variation(edges: DataFrame, signal: DataFrame, value: str = "x") -> Da
 def neighbour_average(edges: DataFrame, signal: DataFrame, value: str = "x") -> DataFrame:
     """(nid, mean) over neighbours; isolated nodes have no row."""
     far = signal.select(F.col("nid").alias("other"), F.col(value).alias("_v"))
-    return ends(edges).join(far, "other").groupBy("nid").agg(F.avg("_v").alias("mean"))
+    return ends(edges).join(far.hint("merge"), "other").groupBy("nid").agg(F.avg("_v").alias("mean"))
 
 
 def cut(edges: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -72,9 +72,9 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int, settle_ev
     state = nodes.select("nid", "label", "is_labeled", F.when(F.col("is_labeled"), F.col("label")).otherwise(0.0).alias("x"))
     for k in range(1, rounds + 1):
         far = state.select(F.col("nid").alias("other"), F.col("x").alias("v"))
-        mean = both.join(far, "other").groupBy("nid").agg(F.avg("v").alias("mean"))
+        mean = both.join(far.hint("merge"), "other").groupBy("nid").agg(F.avg("v").alias("mean"))
         x = F.when(F.col("is_labeled"), F.col("label")).otherwise(F.coalesce("mean", "x"))
-        state = state.join(mean, "nid", "left").select("nid", "label", "is_labeled", x.alias("x"))
+        state = state.join(mean.hint("merge"), "nid", "left").select("nid", "label", "is_labeled", x.alias("x"))
         if k % settle_every == 0 or k == rounds:
             state = settled(state)
     return state

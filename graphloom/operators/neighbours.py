@@ -28,6 +28,7 @@ FAN = 8  #: children of a node of the tree
 TILE_BYTES = 8 << 20  #: vectors on a side of a tile, unless a single block has more
 BROADCAST_BYTES = 8 << 20  #: of ids and lists, or of repeated vectors, that may be broadcast at the end
 FOUND = "nid long, other long, d2 double"
+# Joins here and on the graph that comes of it are told to merge: what Spark would broadcast by itself, up to its limit each, passes through the driver.
 
 
 @dataclass
@@ -60,13 +61,13 @@ def nearest(vectors: DataFrame, k: int, node: str = "vec_id", vector: str = "emb
 
     # back from points to ids: a point's own ids come first, then those of its nearest points
     told = points.select(F.col("rep").alias("other"), F.explode("ids").alias("id"))
-    near = between.join(told, "other").select("rep", "d2", "id").unionByName(points.select("rep", F.lit(0.0).alias("d2"), F.explode("ids").alias("id")))
+    near = between.join(told.hint("merge"), "other").select("rep", "d2", "id").unionByName(points.select("rep", F.lit(0.0).alias("d2"), F.explode("ids").alias("id")))
     lists = near.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "id"))), 1, k + 1).alias("near"))  # (k + 1)^2 entries at most
     few = max(1, BROADCAST_BYTES // (8 * max(len(own.select("v").first()["v"]), 4 * (k + 1))))  # rows, so that wide ones stay off the driver too
-    alone = own.select("nid").join(points.where(F.size("ids") == 1).select(F.col("rep").alias("nid")), "nid", "left_semi").select("nid", F.col("nid").alias("rep"))
+    alone = own.select("nid").join(points.where(F.size("ids") == 1).select(F.col("rep").alias("nid")).hint("merge"), "nid", "left_semi").select("nid", F.col("nid").alias("rep"))
     shared = points.where(F.size("ids") > 1).select("v", "rep")
-    members = alone if shared.isEmpty() else alone.unionByName(spread_join(own, shared, "v", "nid", broadcast_rows=few).select("nid", "rep"))
-    listed = spread_join(members, lists, "rep", "nid", broadcast_rows=few)
+    members = alone if shared.isEmpty() else alone.unionByName(spread_join(own, shared.hint("merge"), "v", "nid", broadcast_rows=few).select("nid", "rep"))
+    listed = spread_join(members, lists.hint("merge"), "rep", "nid", broadcast_rows=few)
     mine = F.slice(F.filter("near", lambda x: x["id"] != F.col("nid")), 1, k)
     rows = listed.select("nid", F.posexplode(mine).alias("at", "x"))
     return rows.select("nid", F.col("x.id").alias("other"), F.col("x.d2").alias("d2"), (F.col("at") + 1).alias("rank"))
@@ -96,7 +97,7 @@ def _between_points(points: DataFrame, k: int, block: int, digits: int, pivots:
     def reaches(best: DataFrame) -> DataFrame:
         """(block, worst): the largest squared distance to a k-th neighbour; infinite while a point has fewer."""
         each = best.groupBy("nid").agg(F.when(F.count("*") >= k, F.max("d2")).otherwise(float("inf")).alias("worst"))
-        inside = home.select("block", F.explode("reps").alias("nid")).join(each, "nid", "left")
+        inside = home.select("block", F.explode("reps").alias("nid")).join(each.hint("merge"), "nid", "left")
         return settled(inside.groupBy("block").agg(F.max(F.coalesce("worst", F.lit(float("inf")))).alias("worst")))
 
     beside = F.explode(F.array(*[F.col("block") + x for x in (0, 1, -1)]))
@@ -112,7 +113,7 @@ def _between_points(points: DataFrame, k: int, block: int, digits: int, pivots:
     candidates = settled(found.where(F.abs(F.col("a") - F.col("b")) > 1).withColumn("at", F.row_number().over(order)))
     done, next_size = 0, 4
     while True:
-        open_ = candidates.where(F.col("at") > done).join(worst.withColumnRenamed("block", "a"), "a").where(F.col("gap") <= reach_of)
+        open_ = candidates.where(F.col("at") > done).join(worst.withColumnRenamed("block", "a").hint("merge"), "a").where(F.col("gap") <= reach_of)
         now = settled(open_.where(F.col("at") <= done + next_size).select("a", "b", "worst"))
         count = now.count()
         if count:
@@ -165,7 +166,7 @@ def _above(bounds: DataFrame) -> DataFrame:
 
 def _descended(bounds: DataFrame, reach: DataFrame, blocks: int) -> DataFrame:
     """(a, b, gap) of blocks within reach of a, from pairs of nodes that are, level by level."""
-    levels, count = [settled(bounds.join(reach, "block"))], blocks
+    levels, count = [settled(bounds.join(reach.hint("merge"), "block"))], blocks
     while count > FAN:
         levels.append(settled(_above(levels[-1])))
         count = -(-count // FAN)
@@ -176,7 +177,7 @@ def _descended(bounds: DataFrame, reach: DataFrame, blocks: int) -> DataFrame:
             pairs = pairs.select("b", children("a").alias("a")).select("a", children("b").alias("b"))
         left = level.select(F.col("block").alias("a"), "lo", "hi", "reach")
         right = level.select(F.col("block").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-        near = pairs.join(left, "a").join(right, "b").withColumn("gap", _gap("lo", "hi", "blo", "bhi"))
+        near = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").withColumn("gap", _gap("lo", "hi", "blo", "bhi"))
         pairs = settled(near.where(F.col("gap") <= F.col("reach")).select("a", "b", "gap"))
     return pairs
 

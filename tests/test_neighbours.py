@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.operators import neighbours
+from graphloom.operators import graphs, learning, neighbours
 
 
 def brute(ids, x, k):
@@ -92,3 +93,21 @@ def test_vectors_stay_off_the_driver(spark, monkeypatch):
         assert rows_of(neighbours.nearest(frame(spark, np.arange(400), x), 3, block=32, pivots=4)) == brute(np.arange(400), x, 3)
     met = [p for p in plans if "FlatMapCoGroupsInArrow" in p]
     assert met and not any("strategy=broadcast" in p for p in met)
+
+
+def test_no_join_may_be_broadcast(spark, monkeypatch):
+    """Every join of the search, of degrees, averages and differences, and of label propagation is told to merge, so that none is left for Spark to broadcast."""
+    x = np.random.default_rng(8).uniform(size=(400, 4))
+    x[:50] = x[50:100]
+    plans = []
+    seen = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+    for module in (neighbours, learning):
+        monkeypatch.setattr(module, "settled", lambda df, settled=module.settled: seen(df) or settled(df))
+    monkeypatch.setattr(neighbours, "BROADCAST_BYTES", 0)
+    near = neighbours.nearest(frame(spark, np.arange(400), x), 3, block=16, pivots=4)
+    edges = neighbours.settled(graphs.symmetric(near))
+    nodes = spark.range(400).select(F.col("id").alias("nid"), F.lit(1.0).alias("x"), F.lit(1.0).alias("label"), (F.col("id") % 10 == 0).alias("is_labeled"))
+    for df in (near, graphs.laplacian(nodes.select("nid"), edges), graphs.neighbour_average(edges, nodes), graphs.total_variation(edges, nodes), learning.label_propagation(nodes, edges, 2)):
+        seen(df)
+    joins = [line for plan in plans for line in plan.splitlines() if "Join " in line and "_part" not in line]  # with_rank's has a row a partition
+    assert len(joins) > 10 and [line for line in joins if "Hint=(strategy=" not in line or "broadcast" in line and "_rows" not in line] == []
