@@ -191,38 +191,52 @@ def _compared(pairs: pa.Table, held: pa.Table, k: int, digits: int, kind: str) -
         ids = np.asarray(reps[at[b]].values)
         return ids, np.frombuffer(vectors[at[b]].as_buffer(), kind).reshape(len(ids), -1).astype(float)
 
-    found, last, left = [], None, None
+    found, last, left, limit = [], None, None, None
     for a, b, worst in sorted(zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "worst")), strict=True)):
         if a != last:
-            last, left, mine = a, block(a), []
-            found.append(mine)
-        mine.append(closest(*left, *block(b), k, digits, worst))
-        if len(mine) == 8:
-            mine[:] = [_least(mine, k)]
-    rows = [_least(mine, k) for mine in found]
+            last, left, limit = a, block(a), worst
+            found.append((left[0], (np.empty(0, int), np.empty(0, int), np.empty(0))))
+        ids, so_far = found[-1]
+        got = closest(left[1], *block(b), k, digits, limit, a == b)
+        if len(got[0]):
+            found[-1] = ids, _least([so_far, got], k)
+            limit = np.minimum(worst, _kth(*found[-1][1], k, len(ids)))
+    rows = [(ids[i], other, d2) for ids, (i, other, d2) in found]
     return pa.table({name: np.concatenate([r[i] for r in rows]) for i, name in enumerate(("nid", "other", "d2"))})
 
 
 def _least(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """k rows (nid, other, d2) of a point, the nearest by distance and id."""
-    nid, other, d2 = (np.concatenate([f[i] for f in found]) for i in range(3))
-    order = np.lexsort((other, d2, nid))
-    nid, other, d2 = nid[order], other[order], d2[order]
-    keep = np.arange(len(nid)) - np.searchsorted(nid, nid) < k
-    return nid[keep], other[keep], d2[keep]
+    """k rows (place, other, d2) of a point, the nearest by distance and id."""
+    place, other, d2 = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.lexsort((other, d2, place))
+    place, other, d2 = place[order], other[order], d2[order]
+    keep = np.arange(len(place)) - np.searchsorted(place, place) < k
+    return place[keep], other[keep], d2[keep]
 
 
-def closest(a: np.ndarray, q: np.ndarray, b: np.ndarray, m: np.ndarray, k: int, digits: int, worst: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each of a, up to k of b no further than `worst`. Products find who can be among them, within a bound on their error; differences
-    decide."""
+def _kth(place: np.ndarray, other: np.ndarray, d2: np.ndarray, k: int, count: int) -> np.ndarray:
+    """Each point's k-th distance among its least rows, infinite while it has fewer."""
+    has = np.bincount(place, minlength=count)
+    out = np.full(count, np.inf)
+    out[has == k] = d2[np.cumsum(has)[has == k] - 1]
+    return out
+
+
+def closest(q: np.ndarray, b: np.ndarray, m: np.ndarray, k: int, digits: int, limit: float | np.ndarray, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in q, id, d2): for each of q, up to k of b no further than its limit. `same` says that both are one block, where a point is none
+    of its own. Products find who can be among them, within a bound on their error; differences decide."""
     qq, mm = (q * q).sum(axis=1), (m * m).sum(axis=1)
-    rough = qq[:, None] + mm[None, :] - 2 * (q @ m.T)
-    rough[a[:, None] == b[None, :]] = np.inf
-    slack = 1e-10 * (qq.max() + mm.max()) + 2 * 10.0**-digits
-    kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(b) >= k else np.full(len(a), np.inf)
-    i, j = np.nonzero((rough <= np.minimum(kth, worst)[:, None] + 2 * slack) & (rough < np.inf))
+    rough = np.column_stack([q, qq, np.ones(len(q))]) @ np.column_stack([-2 * m, np.ones(len(m)), mm]).T
+    if same:
+        np.fill_diagonal(rough, np.inf)
+    slack = 2 * (1e-10 * (qq.max() + mm.max()) + 2 * 10.0**-digits)
+    within = lambda most: rough <= np.minimum(np.broadcast_to(most, len(q)) + slack, np.finfo(float).max)[:, None]
+    near = within(limit)
+    if len(b) >= k and np.count_nonzero(near) > 8 * k * len(q):  # limits that leave many: the products' own k-th is one too
+        near &= within(np.partition(rough, k - 1, axis=1)[:, k - 1])
+    i, j = np.divmod(np.flatnonzero(near), len(b))
     d = np.round(((q[i] - m[j]) ** 2).sum(axis=1), digits)
     order = np.lexsort((b[j], d, i))
     i, j, d = i[order], j[order], d[order]
     keep = np.arange(len(i)) - np.searchsorted(i, i) < k  # places among those of the same point
-    return a[i[keep]], b[j[keep]], d[keep]
+    return i[keep], b[j[keep]], d[keep]

@@ -1,6 +1,7 @@
 """Exact neighbours against brute force, and what the index skips."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,16 @@ def test_no_join_may_be_broadcast(spark, monkeypatch):
         seen(df)
     joins = [line for plan in plans for line in plan.splitlines() if "Join " in line and "_part" not in line]  # with_rank's has a row a partition
     assert len(joins) > 10 and [line for line in joins if "Hint=(strategy=" not in line or "broadcast" in line and "_rows" not in line] == []
+
+
+def test_blocks_of_a_tile_find_what_is_nearer_than_before(monkeypatch):
+    """After a point's first block of a tile, only what is no further than its k-th so far is found, so later pairs cost a product and little else."""
+    x = np.random.default_rng(9).standard_normal((8 * 64, 16)).astype(np.float32)
+    ids = np.arange(len(x)) * 3
+    held = pa.table({"block": list(range(8)), "reps": pa.array(ids.reshape(8, 64).tolist()), "m": [b.tobytes() for b in x.reshape(8, 64, 16)]})
+    told, closest = [], neighbours.closest
+    monkeypatch.setattr(neighbours, "closest", lambda *a: told.append(closest(*a)) or told[-1])
+    pairs = [(a, b) for a in range(8) for b in range(8)]
+    got = neighbours._compared(pa.table({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "worst": [float("inf")] * 64}), held, 3, 6, "f4")
+    assert set(zip(*(got.column(c).to_pylist() for c in ("nid", "other", "d2")))) == {r[:3] for r in brute(ids, x.astype(float), 3)}
+    assert sum(len(r[0]) for r in told) < 3.5 * 3 * len(x)  # about 1 + 1/2 + ... + 1/8 times three a point, instead of eight times
