@@ -125,3 +125,17 @@ def test_blocks_of_a_tile_find_what_is_nearer_than_before(monkeypatch):
     got = neighbours._compared(pa.table({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "worst": [float("inf")] * 64}), held, 3, 6, "f4")
     assert set(zip(*(got.column(c).to_pylist() for c in ("nid", "other", "d2")))) == {r[:3] for r in brute(ids, x.astype(float), 3)}
     assert sum(len(r[0]) for r in told) < 3.5 * 3 * len(x)  # about 1 + 1/2 + ... + 1/8 times three a point, instead of eight times
+
+
+@pytest.mark.parametrize("made", ["neighbour_average"])
+def test_what_follows_the_search_merges(spark, made):
+    """No join of these queries beyond the search is left for Spark to broadcast."""
+    nodes, edges = spark.range(9).select(F.col("id").alias("nid"), F.lit(1.0).alias("x"), F.lit(1.0).alias("cluster")), graphs.chain(spark, 8)
+    df = {
+        "degree": lambda: graphs.degrees(nodes, edges),
+        "neighbour_average": lambda: graphs.neighbour_average(edges, nodes),
+        "total_variation": lambda: graphs.total_variation(edges, nodes),
+        "cut_weight": lambda: graphs.cut(edges, nodes),
+    }[made]()
+    joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and all("strategy=merge" in line for line in joins)
