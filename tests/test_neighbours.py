@@ -127,10 +127,10 @@ def test_blocks_of_a_tile_find_what_is_nearer_than_before(monkeypatch):
     assert sum(len(r[0]) for r in told) < 3.5 * 3 * len(x)  # about 1 + 1/2 + ... + 1/8 times three a point, instead of eight times
 
 
-@pytest.mark.parametrize("made", ["degree", "neighbour_average", "total_variation"])
+@pytest.mark.parametrize("made", ["degree", "neighbour_average", "total_variation", "cut_weight"])
 def test_what_follows_the_search_merges(spark, made):
     """No join of these queries beyond the search is left for Spark to broadcast."""
-    nodes, edges = spark.range(9).select(F.col("id").alias("nid"), F.lit(1.0).alias("x"), F.lit(1.0).alias("cluster")), graphs.chain(spark, 8)
+    nodes, edges = spark.range(9).select(F.col("id").alias("nid"), F.col("id").cast("double").alias("x"), (F.col("id") % 3).alias("cluster")), graphs.chain(spark, 8)
     df = {
         "degree": lambda: graphs.degrees(nodes, edges),
         "neighbour_average": lambda: graphs.neighbour_average(edges, nodes),
