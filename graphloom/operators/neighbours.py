@@ -183,7 +183,7 @@ def _descended(bounds: DataFrame, reach: DataFrame, blocks: int) -> DataFrame:
 
 
 def _compared(pairs: pa.Table, held: pa.Table, k: int, digits: int, kind: str) -> pa.Table:
-    """The nearest of each pair of a tile, from the blocks that the tile holds; k of a point are kept."""
+    """The nearest of each pair of a tile, from the blocks that the tile holds; k of a point are kept, and the k-th so far limits what later blocks give."""
     at = {b: i for i, b in enumerate(held.column("block").to_pylist())}
     reps, vectors = held.column("reps").combine_chunks(), held.column("m").combine_chunks()
 
