@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.graphs import degrees, ends
 from graphloom.operators.learning import Regression
+from graphloom.operators.levelled import shared_start
 from graphloom.operators.tabular import with_rank
 from graphloom.plans.state import removed, settled, shared_dir, ship_package
 
@@ -90,11 +91,12 @@ def by_features(nodes: DataFrame, dimension: int) -> Column:
     return zorder("feature", values[::2], values[1::2])
 
 
-def regression(nodes: DataFrame, edges: DataFrame, problem: Regression, dimension: int, most: int = 10_000, tolerance: float = 1e-3, order: Column | None = None, parts: Parts = Parts(), progress: Progress | None = None, balanced: bool = False) -> DataFrame:
+def regression(nodes: DataFrame, edges: DataFrame, problem: Regression, dimension: int, most: int = 10_000, tolerance: float = 1e-3, order: Column | None = None, parts: Parts = Parts(), progress: Progress | None = None, balanced: bool = False, levelled: bool = False) -> DataFrame:
     """(nid, weights, predicted) of nodes (nid, feature, label, is_labeled) and edges (src, dst): after the steps that bring a duality gap to
     tolerance times the loss of zero weights, the solution with that gap; if `most` steps don't, the running averages. progress is told how
     it went. balanced: a squared loss, which has a weight of one over the number of labels, is met with steps of weights as many times longer and steps
-    of flows as many times shorter; their product and the minimum stay, and the steps needed no longer grow with the number of labels."""
+    of flows as many times shorter; their product and the minimum stay, and the steps needed no longer grow with the number of labels. levelled: with a squared loss, the weights that each component shares
+    are tried first, by a round without steps."""
     spark = nodes.sparkSession
     ship_package(spark)
     progress = Progress() if progress is None else progress
@@ -104,13 +106,18 @@ def regression(nodes: DataFrame, edges: DataFrame, problem: Regression, dimensio
     if not count:
         return spark.createDataFrame([], "nid long, weights array<double>, predicted double")
     progress.parts = -(-count // parts.nodes)
-    graph, progress.depth, progress.halo, progress.closed = _cut(nodes, edges, dimension, by_features(nodes, dimension) if order is None else order, parts, progress.parts)
+    home, links, graph, progress.depth, progress.halo, progress.closed = _cut(nodes, edges, dimension, by_features(nodes, dimension) if order is None else order, parts, progress.parts)
     ratio = max(problem.variance * labelled, 1.0) if balanced and problem.loss == "squared" else 1.0
     tables = Buckets(spark, progress.parts)
     bucketed, dropped = tables.write, tables.drop
     fixed = bucketed(graph.repartition(progress.parts, "part"), "graph")
     begin = F.lit(None).cast("binary")
     state = None
+    if levelled and problem.loss == "squared" and labelled:
+        start = shared_start(home, links, dimension, 1 / (problem.variance * labelled), problem.primal, problem.bound, 16 * parts.nodes)
+        if start:
+            state = bucketed(_begun(spark.table(fixed), home, *start, dimension).repartition(progress.parts, "part"), "start")
+    tried = state is not None
     while True:
         now = spark.table(fixed)
         if state is None:
@@ -121,7 +128,7 @@ def regression(nodes: DataFrame, edges: DataFrame, problem: Regression, dimensio
             inbox = mail.repartition(progress.parts, "part").groupBy("part").agg(F.collect_list("m").alias("inbox"))  # an entry a neighbouring part
             joined = now.join(told.where(F.col("kind") == STATE).select("part", F.col("bytes").alias("state")).hint("merge"), "part").join(inbox.hint("merge"), "part", "left")
         steps = progress.depth if not progress.closed else parts.alone if progress.parts == 1 else min(parts.alone, 100 << min(progress.rounds, 20))
-        take = min(steps, most - progress.steps)
+        take = 0 if tried else min(steps, most - progress.steps)
         moved = joined.select("part", "graph", "state", "inbox").mapInArrow(lambda batches, take=take: _steps(batches, problem, labelled, take, ratio), OUT)
         before, state = state, bucketed(moved, f"round{progress.rounds}")
         if before:  # the shares tell of the state that the round began with
@@ -136,8 +143,9 @@ def regression(nodes: DataFrame, edges: DataFrame, problem: Regression, dimensio
             if any(good):
                 state = before
                 break
-        if not take:
+        if not take and not tried:
             break
+        tried = False
         progress.steps, progress.rounds = progress.steps + take, progress.rounds + 1
     last = spark.table(fixed).join(spark.table(state).where(F.col("kind") == STATE).select("part", F.col("bytes").alias("state")).hint("merge"), "part")
     result = settled(last.mapInArrow(lambda batches, averaged=progress.averaged: _results(batches, averaged), "nid long, weights array<double>, predicted double"))
@@ -146,8 +154,8 @@ def regression(nodes: DataFrame, edges: DataFrame, problem: Regression, dimensio
     return result
 
 
-def _cut(nodes: DataFrame, edges: DataFrame, dimension: int, order: Column, parts: Parts, count: int) -> tuple[DataFrame, int, int, bool]:
-    """(part, graph) with everything a part needs to know, the depth of the halos, their size, and whether nothing lies beyond them."""
+def _cut(nodes: DataFrame, edges: DataFrame, dimension: int, order: Column, parts: Parts, count: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int, bool]:
+    """The nodes with their owners, the edges without loops, (part, graph) with everything a part needs to know, the depth of the halos, their size, and whether nothing lies beyond them."""
     sized = degrees(nodes.select("nid", "feature", F.coalesce("label", F.lit(0.0)).alias("label"), "is_labeled", order.alias("_order")), edges)
     placed = with_rank(sized.select("nid", "feature", "label", "is_labeled", "gamma", "strength", "_order"), [F.asc("_order"), F.asc("nid")], "place")
     home = settled(placed.withColumn("owner", F.floor((F.col("place") - 1) / parts.nodes).cast("long")).drop("place", "_order"))
@@ -182,7 +190,29 @@ def _cut(nodes: DataFrame, edges: DataFrame, dimension: int, order: Column, part
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": [key[0]], "graph": [pickle.dumps(_Local.of(int(key[0]), pdf, dimension))]})
 
-    return rows.groupBy("part").applyInPandas(pack, "part long, graph binary"), depth, total, closed
+    return home, links, rows.groupBy("part").applyInPandas(pack, "part long, graph binary"), depth, total, closed
+
+
+def _begun(graph: DataFrame, home: DataFrame, weights: DataFrame, flows: DataFrame, dimension: int) -> DataFrame:
+    """The parts' states and messages with weights (nid, w) and flows (src, dst, y) that are known."""
+    owners = home.select("nid", F.col("owner").alias("part"))
+    rows = weights.join(owners.hint("merge"), "nid").select("part", F.col("nid").alias("a"), F.lit(None).cast("long").alias("b"), F.col("w").alias("v"))
+    rows = rows.unionByName(flows.join(owners.withColumnRenamed("nid", "src").hint("merge"), "src").select("part", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("y").alias("v")))
+
+    def begin(key: tuple, held: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        g = pickle.loads(held["graph"].iloc[0])
+        w, y = np.zeros((len(g.nids), dimension)), np.zeros((len(g.src), dimension))
+        node, line = known[known["b"].isna()], known[known["b"].notna()]
+        if len(node):
+            w[pd.Index(g.nids[: g.own]).get_indexer(node["a"])] = np.stack(node["v"].to_list())
+        if len(line):
+            mine = np.flatnonzero(g.mine)
+            at = pd.MultiIndex.from_arrays([g.nids[g.src[mine]], g.nids[g.dst[mine]]]).get_indexer(pd.MultiIndex.from_arrays([line["a"].astype("int64"), line["b"].astype("int64")]))
+            y[mine[at]] = np.stack(line["v"].to_list())
+        s = _State(0, w, w.copy(), w.copy(), y, y.copy())
+        return pd.DataFrame(_told(g, s), columns=["part", "kind", "other", "bytes", "shares"]).astype({"other": "Int64"})
+
+    return graph.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(begin, OUT)
 
 
 @dataclass
@@ -256,13 +286,19 @@ def _steps(batches: Iterator[pa.RecordBatch], problem: Regression, labelled: int
                     s.w[nodes], s.prev[nodes], s.average[nodes], s.y[lines] = v[:k], v[k : 2 * k], v[2 * k : 3 * k], v[3 * k :]
                 out.append((g.part, SHARE, None, None, _gap_shares(g, s.average, s.flow, problem, labelled) + _gap_shares(g, s.w, s.y, problem, labelled)))
             _advance(g, s, problem, labelled, steps, ratio)
-            out.append((g.part, STATE, None, pickle.dumps(s), None))
-            for to, (nodes, lines) in g.give.items():
-                out.append((g.part, MESSAGE, to, np.concatenate([s.w[nodes], s.prev[nodes], s.average[nodes], s.y[lines]]).tobytes(), None))
+            out += _told(g, s)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "kind", "other", "bytes", "shares"])
 
 
+def _told(g: _Local, s: _State) -> list[tuple]:
+    """Rows of a part's state and of what it tells others."""
+    out = [(g.part, STATE, None, pickle.dumps(s), None)]
+    for to, (nodes, lines) in g.give.items():
+        out.append((g.part, MESSAGE, to, np.concatenate([s.w[nodes], s.prev[nodes], s.average[nodes], s.y[lines]]).tobytes(), None))
+    return out
+
+
 def _divergence(g: _Local, y: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(g.src, y[:, k], len(g.nids)) - np.bincount(g.dst, y[:, k], len(g.nids)) for k in range(y.shape[1])], axis=1)
 

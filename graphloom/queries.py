@@ -586,14 +586,14 @@ def user_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Users with three block means of their values as features, a fourth as label, linked to their three nearest."""
     means = series.chunk_means(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 4)
     rows = means.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "mean"))).alias("m"))  # four entries
-    users = rows.select(F.lit(0).alias("graph_id"), F.col("user_id").alias("nid"), F.transform(F.slice("m", 1, 3), lambda s: s["mean"] / 100.0).alias("feature"), (F.element_at("m", 4)["mean"] / 100.0).alias("label"), (F.col("user_id") % 5 == 0).alias("is_labeled"))
+    users = settled(rows.select(F.lit(0).alias("graph_id"), F.col("user_id").alias("nid"), F.transform(F.slice("m", 1, 3), lambda s: s["mean"] / 100.0).alias("feature"), (F.element_at("m", 4)["mean"] / 100.0).alias("label"), (F.col("user_id") % 5 == 0).alias("is_labeled")))  # once, as the search reads them several times
     edges = graphs.symmetric(graphs.nearest(users, 3, "nid", "feature"))
     return users, edges.withColumn("graph_id", F.lit(0))
 
 
 def converged(users: DataFrame, edges: DataFrame, problem: learning.Regression) -> DataFrame:
     """Until the duality gap is a thousandth of the loss of zero weights, ten times the surveyed scripts' 10,000 steps at most."""
-    return partitioned.regression(users.drop("graph_id"), edges.drop("graph_id"), problem, 3, 100_000, 1e-3, parts=partitioned.Parts(alone=10_000), balanced=True)
+    return partitioned.regression(users.drop("graph_id"), edges.drop("graph_id"), problem, 3, 100_000, 1e-3, parts=partitioned.Parts(alone=10_000), balanced=True, levelled=True)
 
 
 def _regression(spark: SparkSession, sf_dir: str, problem: learning.Regression) -> DataFrame:

@@ -157,3 +157,51 @@ def test_balanced_steps_do_not_grow_with_labels(spark):
     got = partitioned.regression(nodes, edges, PROBLEMS[0], 3, 2000, 1e-3, order=F.col("nid"), parts=partitioned.Parts(1500), progress=progress, balanced=True)
     assert progress.closed and progress.steps <= 1500 and progress.gap <= 1e-3 * 2.5
     assert got.count() == n and got.where("abs(predicted - 1.0 - nid % 2) > 0.1").isEmpty()
+
+
+@pytest.mark.parametrize("size", [7, 25, 200], ids=["levels", "parts", "one part"])
+def test_shared_weights_need_no_steps(spark, size):
+    """Where edges hold all pulls, weights are a least-squares fit of each component; flows along trees prove it before any step."""
+    (nodes, edges), (src, dst, x, _, seeds) = random_graph(spark, 120, extra=4)
+    weights, noise = np.array([1.0, -0.5, 0.25]), np.random.default_rng(4).standard_normal(120)
+    label = x @ weights + 0.02 * noise
+    nodes = spark.createDataFrame([(i * 3, x[i].tolist(), float(label[i]), bool(seeds[i])) for i in range(120)], "nid long, feature array<double>, label double, is_labeled boolean").repartition(3)
+    progress = partitioned.Progress()
+    got = weights_of(partitioned.regression(nodes, edges, PROBLEMS[0], 3, 100_000, 1e-9, parts=partitioned.Parts(size), progress=progress, balanced=True, levelled=True))
+    first = np.arange(120)
+    for _ in range(120):
+        np.minimum.at(first, src, first[dst])
+        np.minimum.at(first, dst, first[src])
+    expected = np.zeros((120, 3))
+    for c in set(first):
+        at = np.flatnonzero(first == c)
+        known = at[seeds[at]]
+        expected[at] = np.linalg.lstsq(x[known], label[known], rcond=None)[0] if len(known) else 0
+    assert progress.steps == 0 and abs(progress.gap) < 1e-9 and progress.parts == -(-120 // size)
+    assert np.abs(got - expected).max() < 1e-6
+
+
+def test_steps_follow_where_flows_pass_the_bound(spark):
+    """Two clusters with weights of their own: the start has a gap, and steps from it end at the same minimum."""
+    (nodes, edges), arrays = random_graph(spark, 60)
+    stiff = learning.Regression(bound=0.005)
+    progress = partitioned.Progress()
+    got = weights_of(partitioned.regression(nodes, edges, stiff, 3, 60_000, 1e-3, parts=partitioned.Parts(alone=1000), progress=progress, balanced=True, levelled=True))
+    here, best = objective(arrays, got, stiff), objective(arrays, learning.regress(*arrays, stiff, 60_000), stiff)
+    zero = objective(arrays, np.zeros((60, 3)), stiff)
+    assert 0 < progress.steps < 60_000 and progress.gap <= 1e-3 * zero and here - best <= progress.gap + 1e-9
+    (nodes, edges), _ = random_graph(spark, 60)
+    apart = partitioned.Progress()
+    partitioned.regression(nodes, edges, stiff, 3, 12, 0.0, parts=partitioned.Parts(16, 3), progress=apart, balanced=True, levelled=True)
+    assert apart.parts == 4 and apart.steps == 12 and np.isfinite(apart.gap)
+
+
+def test_no_start_without_locality(spark):
+    """A part of a higher level is never larger than it may be: there is no start then, and steps begin at zero."""
+    from graphloom.operators.levelled import shared_start
+
+    home = spark.range(40).selectExpr("id as nid", "array(1D) as feature", "1D as label", "true as is_labeled", "id div 10 as owner")
+    links = spark.range(40).selectExpr("id as src", "(id * 11 + 10) % 40 as dst").where("src <> dst")
+    assert shared_start(home, links, 1, 1 / 40, 0.9, 1.0, 10) is None
+    weights, flows = shared_start(home, links, 1, 1 / 40, 0.9, 1.0, 1000)
+    assert {round(r.w[0], 9) for r in weights.collect()} == {1.0} and weights.count() == 40 and flows.where("abs(y[0]) > 1e-9").isEmpty()
