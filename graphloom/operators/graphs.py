@@ -109,11 +109,19 @@ def two_clusters(spark: SparkSession, first: int, second: int, degree: float, bo
 
 def _met(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two tables joined by grid cells (cx, cy). A cell's points are few bytes and many pairs: the points of a are dealt in turn to DEALS
-    shares of their cell, b goes to each, and the number of tasks is fixed, as by bytes all cells would end in a few."""
+    shares of their cell, b goes to each, and the number of tasks is fixed, as by bytes all cells would end in a few. They merge, so a task
+    holds one share at a time and its pairs come cell by cell: in a file, neighbouring rows share few ids, and Parquet keeps its
+    dictionaries where it would write eight bytes an id."""
     tasks = max(200, 8 * a.sparkSession.sparkContext.defaultParallelism)
     left = a.withColumn("_deal", F.pmod(F.xxhash64(*a.columns), F.lit(DEALS))).repartition(tasks, "cx", "cy", "_deal")
     right = b.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long")))).repartition(tasks, "cx", "cy", "_deal")
-    return left.hint("shuffle_hash").join(right, ["cx", "cy", "_deal"]).drop("_deal")
+    return right.hint("merge").join(left, ["cx", "cy", "_deal"]).drop("_deal")
+
+
+def _squared(x1: str, x2: str, y1: str, y2: str) -> Column:
+    """The squared distance, by products: exactly as SQL has it."""
+    dx, dy = F.col(x1) - F.col(x2), F.col(y1) - F.col(y2)
+    return dx * dx + dy * dy
 
 
 def radius_graph(points: DataFrame, radius: float, x: str = "x", y: str = "y", node: str = "nid") -> DataFrame:
@@ -124,7 +132,7 @@ def radius_graph(points: DataFrame, radius: float, x: str = "x", y: str = "y", n
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (0, 1), (1, 1), (1, -1))]))
     sent = placed.select("*", steps.alias("s")).select(F.col("nid").alias("n1"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("cx") + F.col("s.a")).alias("cx"), (F.col("cy") + F.col("s.b")).alias("cy"), (F.abs("s.a") + F.abs("s.b")).alias("far"))
     met = _met(sent, placed).where((F.col("far") > 0) | (F.col("n1") < F.col("nid")))
-    d2 = F.pow(F.col("x1") - F.col("x"), F.lit(2.0)) + F.pow(F.col("y1") - F.col("y"), F.lit(2.0))
+    d2 = _squared("x1", "x", "y1", "y")
     return met.select(F.least("n1", "nid").alias("src"), F.greatest("n1", "nid").alias("dst"), d2.alias("d2")).where(F.col("d2") < radius * radius)
 
 
@@ -135,7 +143,7 @@ def match_within(left: DataFrame, right: DataFrame, radius: float, lkey: str, rk
     a = left.select(F.col(lkey), F.col(x).alias("x1"), F.col(y).alias("y1"), cell(x).alias("cx"), cell(y).alias("cy"))
     b = right.select(F.col(rkey), F.col(x).alias("x2"), F.col(y).alias("y2"), cell(x).alias("px"), cell(y).alias("py"), around.alias("s"))
     b = b.select(rkey, "x2", "y2", (F.col("px") + F.col("s.a")).alias("cx"), (F.col("py") + F.col("s.b")).alias("cy"))
-    d2 = F.pow(F.col("x1") - F.col("x2"), F.lit(2.0)) + F.pow(F.col("y1") - F.col("y2"), F.lit(2.0))
+    d2 = _squared("x1", "x2", "y1", "y2")
     return _met(a, b).select(lkey, rkey, d2.alias("d2")).where(F.col("d2") < radius * radius)
 
 
